@@ -1,4 +1,7 @@
 """Queries of the llm subpackage."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from memspark.llm import q_near_duplicates
+
+_MODULES = [q_near_duplicates]
+QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
