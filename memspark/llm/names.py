@@ -30,10 +30,10 @@ WEIGHTS = {"full": 1.0, "initial": 0.9, "slip": 0.8}
 
 #: Given names and their usual short forms (public English name lore).
 NICKNAMES = {
-    "abigail": "abby abbie gail", "alexander": "alex sasha al sandy xander lex", "andrew": "andy drew", "anthony": "tony ant", "barbara": "barb babs",
+    "abigail": "abby abbie gail", "alexander": "alex sasha sandy xander lex", "andrew": "andy drew", "anthony": "tony ant", "barbara": "barb babs",
     "benjamin": "ben benny benji", "charles": "charlie chuck chas", "christina": "chris tina chrissie", "christopher": "chris kit topher",
     "daniel": "dan danny", "deborah": "deb debbie debby", "dominic": "dom nic nick", "dorothy": "dot dottie dolly", "edward": "ed eddie ned ted teddy",
-    "eleanor": "ellie nell nora ella", "elizabeth": "liz lizzie beth betty eliza betsy lisa libby", "emily": "em emmy", "francesca": "fran frankie chess chessie", "francis": "frank fran",
+    "eleanor": "ellie nell nora ella", "elizabeth": "liz lizzie beth betty eliza betsy lisa libby", "emily": "emmy", "francesca": "fran frankie chess chessie", "francis": "frank fran",
     "frederick": "fred freddie fritz freddy", "gabriella": "gabi gabby ella gaby bella", "george": "georgie", "gregory": "greg gregg", "harriet": "hattie harry hatty",
     "henry": "hank harry hal", "isabella": "bella izzy isa ella", "jacob": "jake", "james": "jim jimmy jamie", "jennifer": "jen jenny jenn jennie",
     "john": "jack johnny", "jonathan": "jon jonny", "joseph": "joe joey", "josephine": "jo josie josy", "joshua": "josh",

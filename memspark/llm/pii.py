@@ -63,7 +63,7 @@ _ID = re.compile(r"\d{3}([- ])\d{2}\1\d{4}|\d{2} \d{3} \d{3} \d{3}|\d{9}|\d{11}"
 _PLAIN_ID = re.compile(r"\d{9}|\d{11}")
 #: Words that say what a number is: a person's, or another thing's.
 _PERSONAL = re.compile(r"secur|insur|passport|licen[cs]e|tax|personal|identity|\bid\b|\bssn\b|steuer|ausweis|versicherung|passeport|s[ée]curit|imp[oô]t|permis|seguridad|pasaporte|identidad|fiscal|codice|passaporto|passaporte|contribuinte|burger|paspoort|rijbewijs|personnummer|pass", re.I)
-_THING = re.compile(r"(?:order|ticket|tracking|code|build|serial|invoice|total|meter|version|part|item|model|bestell\w*|parcel no|reference)\W*(?:no|number|nr)?\W*$", re.I)
+_THING = re.compile(r"(?:order|ticket|tracking|code|build|serial|invoice|total|meter(?:\s\w+)?|version|part|item|model|bestell\w*|parcel no|reference)\W*(?:no|number|nr)?\W*$", re.I)
 
 
 def _numbers(text: str) -> list[tuple[int, int, str]]:
@@ -93,34 +93,37 @@ def _numbers(text: str) -> list[tuple[int, int, str]]:
 _KIND = r"(?:street|road|way|lane|drive|avenue|close|crescent|terrace|court|place|square|boulevard|grove|gardens|hill|row|walk|st\b|rd\b|ln\b|dr\b|ave\b|av\b|blvd\b|ct\b|pl\b|sq\b)"
 _NUM = r"\d{1,4}(?:\s?[a-z](?![a-z]))?(?:\s(?:bis|ter))?"
 _WORD = r"[^\W\d_][\w'’-]*"
-_STREETS = re.compile(
-    rf"""(?<![\w#.,/-])(?:
-      {_NUM}\s(?:{_WORD}\s){{1,3}}?{_KIND}(?:\.(?=\s[a-z,;)]|[,;)]))?(?!\w)
-    | {_NUM},?\s(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai)\s(?:(?:des|de|du|la|le|les|l'|d')\s?){{0,3}}{_WORD}
-    | [^\W\d_][\w-]*(?:stra(?:ß|ss)e|str\.|gasse|weg|allee|platz|damm|ufer|gatan|vägen|straat|laan|plein)\s\d{{1,4}}\s?[a-z]?(?!\w)
-    | (?:calle|via|viale|corso|piazza|rua|avenida|travessa|plaza|paseo)\s(?:(?:de|da|do|del|della|la|las|los|di)\s){{0,2}}{_WORD}(?:\s{_WORD})?,?\s\d{{1,4}}[a-z]?(?!\w)
-    )""",
+_HOUSE_FIRST = re.compile(
+    rf"""{_NUM}\s(?:{_WORD}\s){{1,3}}?{_KIND}(?:\.(?=\s[a-z,;)]|[,;)]))?(?!\w)
+    | {_NUM},?\s(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai)\s(?:(?:des|de|du|la|le|les|l'|d')\s?){{0,3}}{_WORD}""",
+    re.X | re.I,
+)
+_HOUSE = re.compile(r"(?<![\w#.,/-])\d{1,4}(?=[a-z]? ?[^\W\d_,]|,? [^\W\d_])", re.I)
+_ENDINGS = ("straße", "strasse", "str.", "gasse", "weg", "allee", "platz", "damm", "ufer", "gatan", "vägen", "straat", "laan", "plein")
+_OPENINGS = ("calle", "via", "viale", "corso", "piazza", "rua", "avenida", "travessa", "plaza", "paseo")
+_HOUSE_LAST = re.compile(
+    rf"""(?<![\w#.,/-])(?:[^\W\d_][\w-]*(?:{"|".join(re.escape(e) for e in _ENDINGS)})\s\d{{1,4}}(?:\s?[a-z])?(?!\w)
+    | (?:{"|".join(_OPENINGS)})\s(?:(?:de|da|do|del|della|la|las|los|di)\s){{0,2}}{_WORD}(?:\s{_WORD})?,?\s\d{{1,4}}[a-z]?(?!\w))""",
     re.X | re.I,
 )
-_STREET_HINT = re.compile(_KIND[:-1] + r"|rue|stra(?:ß|ss)e|str\.|gasse|weg|gatan|vägen|straat|calle|via|rua|avenida|allee|platz|laan|plein)", re.I)
 #: Words that begin a phrase about a room, a chapter, a step and so on, not a house number.
 _NOT_HOUSE = re.compile(r"(?:room|chapter|step|building|version|day|page|no\.?|number|flat|floor|apartment|apt\.?|unit|stage|week|x)\s?$", re.I)
-
-
-def _streets(text: str) -> list[tuple[int, int]]:
-    out = []
-    for m in _STREETS.finditer(text):
-        if m.group()[0].isdigit() and _NOT_HOUSE.search(text[max(0, m.start() - 12) : m.start()]):
-            continue
-        inner = m.group().split()
-        # a house number is followed by a name, not by a common word
-        if inner[0][0].isdigit() and any(w.lower() in _COMMON for w in inner[1:] if w.lower() not in ("rue", "des", "de", "du", "la", "le", "les", "bis", "ter", "hill", "park", "mill")):
-            continue
-        a, b = m.span()
-        while text[b - 1].isspace():
-            b -= 1
-        out.append((a, b))
-    return out
+_LINKS = {"rue", "des", "de", "du", "la", "le", "les", "bis", "ter", "hill", "park", "mill", "new", "old", "first", "second", "little"}
+
+
+def _streets(text: str, plain: str) -> list[tuple[int, int]]:
+    spans = []
+    for h in _HOUSE.finditer(text):
+        m = _HOUSE_FIRST.match(text, h.start())
+        if m and not _NOT_HOUSE.search(text[max(0, h.start() - 12) : h.start()]):
+            words = m.group().split()[1:]
+            # a house number is followed by a name, not by a common word
+            if not any(w.lower() in _COMMON and w.lower() not in _LINKS for w in words):
+                spans.append(m.span())
+    low = text.lower()
+    if any(e in low for e in _ENDINGS) or any(o + " " in low for o in _OPENINGS):
+        spans += [m.span() for m in _HOUSE_LAST.finditer(text)]
+    return spans
 
 
 # ---------------------------------------------------------------- names
@@ -132,7 +135,7 @@ _COMMON = set(
     tomorrow monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december last next first second third new old little big please
     dear hello hi thanks regards best and for credits minutes people days day week month year time times ago offered keeps plans sorted bought between offered lease draft note coffee list tutor guest class
     class room chapter building project step ticket order tracking build flat sensor meter talk invoice kickoff contract shelves cousin aunt sister brother friend colleague courier coach team committee dentist
-    landlord librarian manager neighbour plumber assistant choir we're there's it's i'm don't according unfortunately somebody someone nobody recently late early around just over three two one in am im und der
+    landlord librarian manager neighbour plumber assistant choir we're there's it's i'm don't according unfortunately somebody someone nobody recently late early around check since great step stand hatte della bell meter just over three two one in am im und der
     die das ist mit von hat wir ich et le la les des une un est dans il elle je nous el los las una en y es por con mi il lo gli uno nel per con mio o os as um uma no na do da meu minha de het een en van is
     mijn met och i på en ett med min mitt att som""".split()
 )
@@ -142,10 +145,25 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _INITIALS = re.compile(r"\b[A-Z]\.? ?[A-Z]?\.? [A-Z]|\b[A-Z]{2,4} [A-Z][a-zà-ÿ]")
 
 
-def _plain(word: str) -> str:
-    if word.isascii():
-        return word.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).lower()
+class _Fold(dict):
+    """Letters without accents, one for one, so that places in the text stay."""
+
+    def __missing__(self, code: int) -> int:
+        base = unicodedata.normalize("NFKD", chr(code))[0]
+        out = self[code] = ord(base) if len(base.lower()) == 1 else code
+        return out
+
+
+_FOLD = _Fold()
+
+
+def _plain(text: str) -> str:
+    """Lower case without accents, of the same length."""
+    if text.isascii():
+        return text.lower()
+    low = text.translate(_FOLD)
+    out = low.lower()
+    return out if len(out) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in low)
 
 
 def _slipped() -> dict[str, str]:
@@ -161,12 +179,13 @@ def _slipped() -> dict[str, str]:
                 forms.append(a + b[1] + b[0] + b[2:])
             for f in forms:
                 out.setdefault(f, name)
-    for name in _SHORT:
+    for name in [*_SHORT, *_COMMON]:
         out.pop(name, None)
     return out
 
 
 _SLIPPED = _slipped()
+_GIVEN = {*_SHORT, *_SLIPPED}
 
 
 def _is_given(word: str, low: str) -> bool:
@@ -176,7 +195,7 @@ def _is_given(word: str, low: str) -> bool:
 def _surname(word: str, like: str, text: str, end: int) -> bool:
     """Whether ``word`` can be the surname beside the given name ``like``: cased alike and no common word."""
     low = _plain(word)
-    if len(low) < 4 or low in _COMMON or low in _THINGS or low in _BIZ or low in _LEGAL or low in TITLES:
+    if len(low) < 4 or low in _COMMON or low in _SHORT and like[0].islower() or low in _THINGS or low in _BIZ or low in _LEGAL or low in TITLES:
         return False
     if like[0].isupper():
         return word[0].isupper()
@@ -186,13 +205,16 @@ def _surname(word: str, like: str, text: str, end: int) -> bool:
     return not re.search(r"(?:ed|ing|ly|s's|n't)$", low) and low not in _SHORT
 
 
-def _names(text: str) -> list[tuple[int, int]]:
-    plain = _plain(text)
-    found = set(_WORDS.findall(plain))
-    if found.isdisjoint(_SHORT) and found.isdisjoint(_SLIPPED) and not _INITIALS.search(text):
+def _names(text: str, plain: str) -> list[tuple[int, int]]:
+    tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(plain)]
+    lows = [plain[a:b] for a, b in tokens]
+    at = {i for i, w in enumerate(lows) if w in _GIVEN}
+    starts = at | {i - 1 for i in at if i}
+    if _INITIALS.search(text):
+        starts |= {i for i, w in enumerate(lows) if len(w) <= 2 and text[tokens[i][0] : tokens[i][1]].isupper()}
+    if not starts:
         return []
-    tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
-    lows = [_plain(t) for _, _, t in tokens]
+    tokens = [(a, b, text[a:b]) for a, b in tokens]
     gap = lambda i: text[tokens[i][1] : tokens[i + 1][0]]
     out: list[tuple[int, int]] = []
     used = [False] * len(tokens)
@@ -210,7 +232,7 @@ def _names(text: str) -> list[tuple[int, int]]:
         out.append((tokens[i][0], tokens[j][1]))
 
     n = len(tokens)
-    for i in range(n):
+    for i in sorted(starts):
         if used[i]:
             continue
         a, low = tokens[i][2], lows[i]
@@ -243,11 +265,13 @@ def _names(text: str) -> list[tuple[int, int]]:
             if letters and j < n and text[tokens[j - 1][1]] == "." and _initialed(tokens[j][2], lows[j]) and not business(j) and not (i and gap(i - 1) == " " and lows[i - 1] not in _COMMON and tokens[i - 1][2][0].isupper() and lows[i - 1] not in TITLES):
                 take(i, j)
                 continue
-            if len(a) == 2 and not letters and gap(i) == " " and _initialed(tokens[i + 1][2], lows[i + 1]) and not tokens[i + 1][2].isupper() and low not in _COMMON and low not in TITLES and not business(i + 1):
+            if len(a) == 2 and not letters and gap(i) == " " and _initialed(tokens[i + 1][2], lows[i + 1]) and not tokens[i + 1][2].isupper() and a not in _LETTERS and low not in TITLES and not business(i + 1):
                 take(i, i + 1)
     return out
 
 
+#: Two capitals that are no initials.
+_LETTERS = {"US", "UK", "EU", "UN", "TV", "PC", "HR", "CV", "IT", "AI", "NY", "LA", "DC", "ID", "QQ"}
 _OPENERS = _COMMON
 #: Small words before a name in small letters.
 _BEFORE = {"to", "with", "by", "add", "from", "and", "tutor", "for", "is", "mr", "mrs", "ms", "mx", "dr", "prof", "met", "of"}
@@ -257,18 +281,20 @@ def _initialed(word: str, low: str) -> bool:
     return word[0].isupper() and len(low) >= 4 and low not in _COMMON and low not in _BIZ and low not in _LEGAL and low not in _THINGS and low not in _SHORT
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """Items as (start, end, type), in order, without overlaps; null and empty texts have none."""
     if not text:
         return []
+    plain = _plain(text)
     out = [(a, b, "email") for a, b in _emails(text)]
     free = lambda a, b: all(b <= x or y <= a for x, y, _ in out)
-    has_digit = any(c in text for c in "0123456789")
-    if has_digit:
-        if _STREET_HINT.search(text):
-            out += [(a, b, "street_address") for a, b in _streets(text) if free(a, b)]
+    if _DIGIT.search(text):
+        out += [(a, b, "street_address") for a, b in _streets(text, plain) if free(a, b)]
         out += [(a, b, t) for a, b, t in _numbers(text) if free(a, b)]
-    out += [(a, b, "name") for a, b in _names(text) if free(a, b)]
+    out += [(a, b, "name") for a, b in _names(text, plain) if free(a, b)]
     return sorted(out)
 
 
