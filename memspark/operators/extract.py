@@ -49,6 +49,11 @@ def normalise_predicate(raw: Column) -> Column:
     return F.coalesce(table[key], key)
 
 
+def _made(predicate: str, kind: str):
+    """Turns a matched object into a fact's struct."""
+    return lambda o: F.struct(F.lit(predicate).alias("predicate"), F.regexp_replace(F.trim(o), r"[.,;]+$", "").alias("object_value"), F.lit(kind).alias("fact_type"))
+
+
 def facts(memories: DataFrame) -> DataFrame:
     """(memory_id, text) -> (memory_id, subject, predicate, object_value, fact_type, confidence), one row per match.
 
@@ -56,7 +61,7 @@ def facts(memories: DataFrame) -> DataFrame:
     parts = []
     for pattern, group, predicate, kind in V.FACT_RULES:
         found = F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
-        parts.append(F.transform(found, lambda o, p=predicate, k=kind: F.struct(F.lit(p).alias("predicate"), F.regexp_replace(F.trim(o), r"[.,;]+$", "").alias("object_value"), F.lit(k).alias("fact_type"))))
+        parts.append(F.transform(found, _made(predicate, kind)))
     rows = memories.select("memory_id", F.explode(F.concat(*parts)).alias("f")).select("memory_id", F.lit("user").alias("subject"), "f.predicate", "f.object_value", "f.fact_type", F.lit(0.65).alias("confidence"))
     return rows.filter((F.col("object_value") != "") & (F.length("object_value") <= 120))
 

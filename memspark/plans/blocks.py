@@ -165,7 +165,7 @@ SELECT r.request, r.pos::INTEGER AS pos, b.id, b.tier FROM r JOIN b ON b.id = r.
     + """, s AS (SELECT *, tier = 'L2_ACTIVE_RAM' AND peff < 2.0 OR tier = 'L3_VIRTUAL_SWAP' AS low3 FROM p),
 t AS (SELECT *, low3 AND peff < 0.5 OR tier = 'L4_ARCHIVE' AS low4 FROM s),
 u AS (SELECT *, CASE WHEN tier = 'L1_HOT_CACHE' THEN tier WHEN low4 AND peff < 0.05 THEN 'DELETED' WHEN low4 THEN 'L4_ARCHIVE' WHEN low3 THEN 'L3_VIRTUAL_SWAP' ELSE tier END AS new_tier,
-  list_filter(regexp_split_to_array(trim(content), '\\s+'), x -> x <> '') AS ws FROM t)
+  list_filter(regexp_split_to_array(trim(content), '\\s+'), lambda x: x <> '') AS ws FROM t)
 SELECT id, tier, new_tier, coalesce(length(CASE WHEN new_tier = 'L4_ARCHIVE' AND tier <> 'L4_ARCHIVE' AND coalesce(summary, '') = ''
   THEN '[ARCHIVED] ' || array_to_string(ws[1:20], ' ') || CASE WHEN len(ws) > 20 THEN '...' ELSE '' END ELSE summary END), -1)::INTEGER AS summary_chars FROM u""",
     "l2_cap": P
@@ -175,8 +175,8 @@ SELECT id, tier, new_tier, coalesce(length(CASE WHEN new_tier = 'L4_ARCHIVE' AND
     + """SELECT id, CASE WHEN regexp_matches(lower(content), 'project|retrieval|memory|embedding|benchmark') THEN 'PROJECT_FACT' WHEN regexp_matches(lower(content), 'my name|favorite|i prefer|i like') THEN 'USER_PROFILE'
 WHEN regexp_matches(lower(content), 'todo|need to|remind') THEN 'TASK' ELSE 'EPISODIC' END AS inferred_tag FROM b""",
     "keyword_extract": B[:-1]
-    + """, w AS (SELECT id, regexp_extract_all(lower(content), '\\b([a-zA-Z0-9-]{2,})\\b', 1) AS ws FROM b),
-f AS (SELECT id, list_filter(ws, (x, i) -> list_position(ws, x) = i AND NOT list_contains(['the','a','an','is','it','in','on','at','to','for','of','and','or','but','i','you','we','they','was','are','be','this','that'], x)) AS ws FROM w)
+    + """, w AS (SELECT id, list_filter(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_-]*[\\p{L}\\p{N}_]'), lambda x: regexp_full_match(x, '[a-z0-9-]{2,}')) AS ws FROM b),
+f AS (SELECT id, list_filter(ws, lambda x, i: list_position(ws, x) = i AND NOT list_contains(['the','a','an','is','it','in','on','at','to','for','of','and','or','but','i','you','we','they','was','are','be','this','that'], x)) AS ws FROM w)
 SELECT id, array_to_string(ws[1:15], ' ') AS words FROM f""",
     "block_validation": B
     + """SELECT id, 'L1_has_summary' AS rule FROM b WHERE tier = 'L1_HOT_CACHE' AND coalesce(summary, '') <> '' UNION ALL SELECT id, 'L4_without_summary' FROM b WHERE tier = 'L4_ARCHIVE' AND coalesce(summary, '') = ''
