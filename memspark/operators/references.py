@@ -61,7 +61,7 @@ def runs(parents: DataFrame) -> DataFrame:
     one = keyed.repartition("parent_table", "ns", "block").groupBy("parent_table", "ns", "block", "pos").agg(F.min("born").alias("born"))
     order = Window.partitionBy("parent_table", "ns", "block").orderBy("pos")
     return (
-        one.withColumn("run", F.col("pos") - F.row_number().over(order))
+        one.withColumn("run", F.col("pos").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) - F.row_number().over(order))
         .groupBy("parent_table", "ns", "block", "run")
         .agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.array_sort(F.collect_list(F.struct("pos", "born"))).alias("born"))
         .select("parent_table", "ns", "block", "start", "end", F.transform("born", lambda x: x["born"]).alias("born"))
