@@ -214,7 +214,7 @@ def model(documents: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, tuple
     wanted = [w for ws in CODES.values() for w in ws.split()]
     code = F.split(F.lower(F.btrim("lang")), "[-_ ]")[0]
     known = F.create_map(*[x for w in wanted for x in (F.lit(w), F.lit(_CODE[w]))])
-    labelled = documents.select("doc_id", "text", known[code].alias("k")).filter("k IS NOT NULL AND text IS NOT NULL")
+    labelled = documents.select("doc_id", "text", known[code].alias("k")).filter(F.col("k").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # a bounded number per language: hash order, cut by the smallest hashes
     each = max(1, sample // len(LANGUAGES))
     parts = [labelled.filter(F.col("k") == k).withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).orderBy("h", "doc_id").limit(each).select("k", "text") for k in LANGUAGES]
