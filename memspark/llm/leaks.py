@@ -76,34 +76,26 @@ class Index:
 def align(doc: str, item: str, diagonal: int, width: int) -> tuple[int, int, int]:
     """Best local alignment with |document place - item place - diagonal| <= width: (matches, edits, document end)
     of the alignment that maximises matches less three times the edits."""
-    n, size = len(doc), 2 * width + 1
-    a = np.frombuffer(doc.encode("utf-32-le"), np.uint32)
-    b = np.frombuffer(item.encode("utf-32-le"), np.uint32)
-    score, match, edit = np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros(size, np.int32)
+    size, end = 2 * width + 1, len(item)
+    score, match, edit = [0] * size, [0] * size, [0] * size
     best = (0, 0, 0, 0)
-    offsets = np.arange(size) - width
-    for i in range(n):
-        j = i - diagonal - offsets  # item place for each diagonal of the band
-        ok = (j >= 0) & (j < len(b))
-        if not ok.any():
-            score[:] = 0
-            match[:] = edit[:] = 0
-            continue
-        same = ok & (b[np.where(ok, j, 0)] == a[i])
-        s = np.where(same, score + 1, score - 3)
-        m, e = match + same, edit + ~same
-        # a document character left out: from the diagonal below; an item character left out: from the one above
-        up = np.concatenate([[-9], score[:-1] - 3])
-        take = up > s
-        s, m, e = np.where(take, up, s), np.where(take, np.concatenate([[0], match[:-1]]), m), np.where(take, np.concatenate([[0], edit[:-1] + 1]), e)
-        left = np.concatenate([s[1:] - 3, [-9]])
-        take = left > s
-        s, m, e = np.where(take, left, s), np.where(take, np.concatenate([m[1:], [0]]), m), np.where(take, np.concatenate([e[1:] + 1, [0]]), e)
-        dead = (s <= 0) | ~ok
-        score, match, edit = np.where(dead, 0, s), np.where(dead, 0, m), np.where(dead, 0, e)
-        k = int(np.argmax(score))
-        if score[k] > best[0]:
-            best = (int(score[k]), int(match[k]), int(edit[k]), i + 1)
+    for i, c in enumerate(doc):
+        new_score, new_match, new_edit = [0] * size, [0] * size, [0] * size
+        start = i - diagonal + width  # item place on the lowest diagonal of the band
+        for k in range(min(size - 1, start), max(-1, start - end), -1):
+            if item[start - k] == c:
+                s, m, e = score[k] + 1, match[k] + 1, edit[k]
+            else:
+                s, m, e = score[k] - 3, match[k], edit[k] + 1
+            if k and score[k - 1] - 3 > s:  # a document character left out
+                s, m, e = score[k - 1] - 3, match[k - 1], edit[k - 1] + 1
+            if k < size - 1 and new_score[k + 1] - 3 > s:  # an item character left out
+                s, m, e = new_score[k + 1] - 3, new_match[k + 1], new_edit[k + 1] + 1
+            if s > 0:
+                new_score[k], new_match[k], new_edit[k] = s, m, e
+                if s > best[0]:
+                    best = (s, m, e, i + 1)
+        score, match, edit = new_score, new_match, new_edit
     return best[1:]
 
 
@@ -120,8 +112,13 @@ def regions(doc: str, index: Index, edits: int = EDITS) -> list[tuple[int, int,
         return []
     hits = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
     where = np.repeat(at, n)
-    text, diag = index.text[hits], where - index.place[hits] + (1 << 20)
-    need = index.bound(edits)
+    text, need = index.text[hits], index.bound(edits)
+    # a text with too few shared q-grams in all has no band with enough
+    some = (np.bincount(text, minlength=len(need)) >= need)[text]
+    if not some.any():
+        return []
+    text, where, hits = text[some], where[some], hits[some]
+    diag = where - index.place[hits] + (1 << 20)
     out = {}
     for shift in (0, BAND // 2):
         key = (text << 40) | ((diag + shift) // BAND)
