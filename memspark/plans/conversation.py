@@ -182,10 +182,15 @@ def stage_timing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def session_index(spark: SparkSession, root: str) -> DataFrame:
-    """Turns counted within their session in order of time; stored indices that differ."""
-    order = Window.partitionBy("session_id").orderBy("logged_at", "turn_id")
-    t = turns(spark, root).filter("session_id IS NOT NULL AND session_id <> 'default'").withColumn("n", F.row_number().over(order))
-    return t.select("turn_id", "n", (F.col("n") - 1 != F.col("turn_index")).alias("differs"))
+    """Turns counted within their session in order of time; stored indices that differ. Counting goes by days: places
+    within a session's day, and the turns of its earlier days, so a session of a third of all turns is spread."""
+    t = turns(spark, root).select("turn_id", "turn_index", "logged_at", F.coalesce("session_id", F.lit("")).alias("session"), F.to_date("logged_at").alias("day"))
+    days = t.groupBy("session", "day").agg(F.count("*").alias("n_day"))
+    before = Window.partitionBy("session").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("session", "day", F.coalesce(F.sum("n_day").over(before), F.lit(0)).alias("earlier"))
+    place = F.row_number().over(Window.partitionBy("session", "day").orderBy("logged_at", "turn_id"))
+    n = t.withColumn("place", place).join(days, ["session", "day"]).withColumn("n", (F.col("earlier") + F.col("place")).cast("int"))
+    return n.select("turn_id", "n", (F.col("n") - 1 != F.col("turn_index")).alias("differs"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -290,5 +295,5 @@ SELECT query_id, neighbour_id, hybrid, CASE WHEN low THEN 'low_similarity' WHEN
     "run_summary": T + "SELECT provider, model, count(*)::BIGINT AS n_turns, round(avg(CASE WHEN isnan(latency_ms) THEN NULL ELSE latency_ms END), 4) AS mean_latency, round(avg(context_block_count), 4) AS mean_blocks, max(context_token_estimate) AS peak_tokens FROM t GROUP BY 1, 2",
     "stage_timing": T[:-1]
     + ", g AS (SELECT model, round(sum(latency_ms), 4) AS total_ms, count(latency_ms)::BIGINT AS calls, round(avg(latency_ms), 1) AS avg_ms FROM t GROUP BY 1) SELECT model, total_ms, calls, avg_ms, round(100 * total_ms / (SELECT sum(total_ms) FROM g), 4) AS pct FROM g",
-    "session_index": T + "SELECT turn_id, row_number() OVER (PARTITION BY session_id ORDER BY logged_at, turn_id)::INTEGER AS n, row_number() OVER (PARTITION BY session_id ORDER BY logged_at, turn_id) - 1 <> turn_index AS differs FROM t WHERE session_id IS NOT NULL AND session_id <> 'default'",
+    "session_index": T + "SELECT turn_id, row_number() OVER (PARTITION BY coalesce(session_id, '') ORDER BY logged_at, turn_id)::INTEGER AS n, row_number() OVER (PARTITION BY coalesce(session_id, '') ORDER BY logged_at, turn_id) - 1 <> turn_index AS differs FROM t",
 }

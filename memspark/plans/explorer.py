@@ -84,10 +84,12 @@ def predicate_histogram(spark: SparkSession, root: str) -> DataFrame:
 
 
 def replay_keys(spark: SparkSession, root: str) -> DataFrame:
-    """Key of each short session's messages, for reuse of what was ingested before."""
-    t = load(spark, root, "turns").dropDuplicates(["turn_id"]).filter("session_id IS NOT NULL AND session_id <> 'default' AND turn_index < 50")
-    s = t.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", "turn_id", "user_message"))).alias("m"))
-    return s.select("session_id", ingestion_key(F.transform("m", lambda x: x["user_message"]), F.lit("none")).alias("key"))
+    """Key of each session's messages, for reuse of what was ingested before. The messages' hashes, each with its
+    place, are summed, so no session is gathered."""
+    t = load(spark, root, "turns").dropDuplicates(["turn_id"])
+    h = lambda seed: F.sum(F.xxhash64("turn_index", "user_message", F.lit(seed)).cast("decimal(38,0)")).cast("string")
+    s = t.groupBy(F.coalesce("session_id", F.lit("none")).alias("session")).agg(F.array(h(1), h(2), F.count("*").cast("string")).alias("m"))
+    return s.select("session", ingestion_key(F.col("m"), F.lit("none")).alias("key"))
 
 
 QUERIES = {f.__name__: f for f in (entity_explorer, fact_explorer, recent_turns, latest_memories, recent_of_type, newest_event_per_memory, entity_resolution, daily_peaks, action_counts, predicate_histogram, replay_keys)}

@@ -160,20 +160,27 @@ def name_similarity(spark: SparkSession, root: str) -> DataFrame:
 def entity_merge(spark: SparkSession, root: str) -> DataFrame:
     """Entities of one type and lower-case name as one: aliases and memories united, counts summed, times widened."""
     e = load(spark, root, "entities").groupBy("id").agg(F.max_by(F.struct("name", "entity_type", "aliases", "memory_ids", "reference_count", "first_seen", "last_seen"), F.struct("reference_count", "last_seen")).alias("_")).select("id", "_.*")
-    g = e.groupBy("entity_type", F.lower("name").alias("name")).agg(
-        F.min("id").alias("id"), F.sum("reference_count").cast("bigint").alias("reference_count"), F.coalesce(F.unix_micros(F.min("first_seen")), F.lit(-1)).alias("first_us"), F.coalesce(F.unix_micros(F.max("last_seen")), F.lit(-1)).alias("last_us"),
-        F.size(F.array_distinct(F.filter(F.flatten(F.collect_list(F.coalesce("memory_ids", F.array().cast("array<string>")))), lambda x: x.isNotNull()))).alias("n_memories"), F.count("*").alias("n_rows"),
-    )
-    return g
+    key = F.lower("name").alias("name")
+    g = e.groupBy("entity_type", key).agg(
+        F.min("id").alias("id"), F.sum("reference_count").cast("bigint").alias("reference_count"), F.coalesce(F.unix_micros(F.min("first_seen")), F.lit(-1)).alias("first_us"), F.coalesce(F.unix_micros(F.max("last_seen")), F.lit(-1)).alias("last_us"), F.count("*").alias("n_rows")
+    )
+    # memories are counted by explosion: a name's lists are never gathered in one row
+    m = e.select("entity_type", key, F.explode("memory_ids").alias("m")).groupBy(F.col("entity_type").alias("t"), F.col("name").alias("k")).agg(F.count_distinct("m").cast("int").alias("n_memories"))
+    both = g.join(m, g["entity_type"].eqNullSafe(m["t"]) & g["name"].eqNullSafe(m["k"]), "left")
+    return both.select("entity_type", "name", "id", "reference_count", "first_us", "last_us", F.coalesce("n_memories", F.lit(0)).alias("n_memories"), "n_rows")
 
 
 def duplicate_entities(spark: SparkSession, root: str) -> DataFrame:
-    """Flagged entities against all of their type that share a word, of similarity at least 0.75."""
+    """Flagged entities against all of their type, of similarity at least 0.75, that share the rarest word of either.
+
+    Names of this similarity share the rarest word of the shorter one; a word of many names is nearly never that."""
     e = load(spark, root, "entities").select("id", "name", "entity_type", "needs_review").filter("name IS NOT NULL AND entity_type IS NOT NULL").dropDuplicates(["id"])
     t = e.withColumn("token", F.explode(X.name_tokens(F.col("name"))))
-    a = t.filter("needs_review").select("token", "entity_type", F.col("id").alias("left_id"), F.col("name").alias("a"))
-    b = t.select("token", "entity_type", F.col("id").alias("right_id"), F.col("name").alias("b"))
-    p = a.join(b, ["token", "entity_type"]).filter("left_id <> right_id").select("left_id", "right_id", "a", "b").distinct()
+    seen = t.groupBy("entity_type", "token").agg(F.count("*").alias("n"))
+    rarest = t.join(seen, ["entity_type", "token"]).groupBy("id", "entity_type", "name", "needs_review").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    left = lambda df: df.filter("needs_review").select("token", "entity_type", F.col("id").alias("left_id"), F.col("name").alias("a"))
+    right = lambda df: df.select("token", "entity_type", F.col("id").alias("right_id"), F.col("name").alias("b"))
+    p = left(rarest).join(right(t), ["token", "entity_type"]).unionByName(left(t).join(right(rarest), ["token", "entity_type"])).filter("left_id <> right_id").select("left_id", "right_id", "a", "b").distinct()
     return p.withColumn("similarity", F.round(X.name_similarity(F.col("a"), F.col("b")), 6)).filter("similarity >= 0.75").select("left_id", "right_id", "similarity")
 
 
