@@ -66,32 +66,36 @@ def facts(memories: DataFrame) -> DataFrame:
     return rows.filter((F.col("object_value") != "") & (F.length("object_value") <= 120))
 
 
-def intent(question: Column) -> Column:
-    """Struct (intent, confidence, secondary) of a question by its marker words."""
+def with_intent(df: DataFrame, question: str) -> DataFrame:
+    """Adds the struct intent (intent, confidence, secondary) of a question by its marker words.
+
+    Markers, scores and the choice are columns of successive projections, so none is computed twice."""
     q = F.lower(question)
-    strong, weak = X.contains_any(q, V.TEMPORAL_STRONG), X.count_terms(q, V.TEMPORAL_WEAK)
-    order = q.rlike(r"\b(first|before|after|earlier|later|oldest|newest|most recent)\b")
-    what = q.rlike(r"\bwhat (happened|went wrong|occurred)\b") & order
-    which = q.rlike(r"(?s)\bwhich\b.{1,60}\bfirst\b.{0,80}\bor\b")
-    compare, maybe = X.contains_any(q, V.COMPARISON_STRONG), X.contains_any(q, V.COMPARISON_WEAK)
-    targets = (compare | maybe) & q.rlike(r"\s(or|vs\.?|versus)\s")
-    add = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(0.0))
+    add = lambda c, x: F.when(F.col(c), F.lit(x)).otherwise(F.lit(0.0))
+    marks = df.withColumns({
+        "_strong": X.contains_any(q, V.TEMPORAL_STRONG), "_weak": X.count_terms(q, V.TEMPORAL_WEAK), "_order": q.rlike(r"\b(first|before|after|earlier|later|oldest|newest|most recent)\b"),
+        "_what": q.rlike(r"\bwhat (happened|went wrong|occurred)\b"), "_which": q.rlike(r"(?s)\bwhich\b.{1,60}\bfirst\b.{0,80}\bor\b"), "_compare": X.contains_any(q, V.COMPARISON_STRONG), "_maybe": X.contains_any(q, V.COMPARISON_WEAK),
+        "_halves": q.rlike(r"\s(or|vs\.?|versus)\s"), "_event": X.contains_any(q, V.EVENT_MARKERS), "_relation": X.contains_any(q, V.RELATIONSHIP_MARKERS), "_fact": X.contains_any(q, V.FACTUAL_MARKERS),
+    })
+    marks = marks.withColumns({"_what": F.col("_what") & F.col("_order"), "_targets": (F.col("_compare") | F.col("_maybe")) & F.col("_halves"), "_only_weak": (F.col("_weak") > 0) & ~F.col("_strong")})
     scores = {
-        "FACTUAL": F.lit(0.40) + add(X.contains_any(q, V.FACTUAL_MARKERS), 0.35),
-        "TEMPORAL": add(strong, 0.55) + F.lit(0.30) * F.least(weak, F.lit(2)) + add(order, 0.30) - add(what, 0.15) - add(which, 0.20),
-        "EVENT": add(X.contains_any(q, V.EVENT_MARKERS), 0.55) + add(what, 0.25) + add((weak > 0) & ~strong, 0.10),
-        "COMPARISON": add(compare, 0.55) + add(targets, 0.15) + add(which, 0.40),
-        "RELATIONSHIP": add(X.contains_any(q, V.RELATIONSHIP_MARKERS), 0.60),
+        "FACTUAL": F.lit(0.40) + add("_fact", 0.35),
+        "TEMPORAL": add("_strong", 0.55) + F.lit(0.30) * F.least(F.col("_weak"), F.lit(2)) + add("_order", 0.30) - add("_what", 0.15) - add("_which", 0.20),
+        "EVENT": add("_event", 0.55) + add("_what", 0.25) + add("_only_weak", 0.10),
+        "COMPARISON": add("_compare", 0.55) + add("_targets", 0.15) + add("_which", 0.40),
+        "RELATIONSHIP": add("_relation", 0.60),
     }
     ranked = F.sort_array(F.array(*[F.struct(F.round(s, 6).alias("s"), F.lit(-k).alias("k"), F.lit(n).alias("n")) for k, (n, s) in enumerate(scores.items())]), asc=False)
-    best, second = ranked[0], ranked[1]
+    best, second = F.col("_ranked")[0], F.col("_ranked")[1]
     close = (F.round(best["s"] - second["s"], 6) < 0.10) & (best["s"] < 0.70)
     also = F.when(second["s"] > 0.30, second["n"])
-    return (
+    choice = (
         F.when(close, F.struct(F.lit("AMBIGUOUS").alias("intent"), F.round(F.greatest(best["s"], F.lit(0.45)), 3).alias("confidence"), second["n"].alias("secondary")))
         .when(best["s"] < 0.45, F.struct(F.lit("FACTUAL").alias("intent"), F.lit(0.45).alias("confidence"), also.alias("secondary")))
         .otherwise(F.struct(best["n"].alias("intent"), F.round(F.least(best["s"], F.lit(0.92)), 3).alias("confidence"), also.alias("secondary")))
     )
+    kept = [F.col(c) for c in df.columns if c != "intent"]
+    return marks.withColumn("_ranked", ranked).select(*kept, choice.alias("intent"))
 
 
 def comparison_targets(question: Column) -> Column:

@@ -52,8 +52,8 @@ def classify_turns(spark: SparkSession, root: str) -> DataFrame:
 
 
 def query_intent(spark: SparkSession, root: str) -> DataFrame:
-    q = questions(spark, root).withColumn("i", E.intent(F.col("question")))
-    return q.select("qid", "i.intent", "i.confidence", F.coalesce("i.secondary", F.lit("none")).alias("secondary"))
+    q = E.with_intent(questions(spark, root), "question")
+    return q.select("qid", "intent.intent", "intent.confidence", F.coalesce("intent.secondary", F.lit("none")).alias("secondary"))
 
 
 def comparison_targets(spark: SparkSession, root: str) -> DataFrame:
@@ -106,7 +106,7 @@ def _ranked(spark: SparkSession, root: str) -> DataFrame:
     """Blocks of each session ranked for the intent of the session's first question."""
     t = turns(spark, root).filter("session_id IS NOT NULL AND user_message IS NOT NULL")
     first = t.groupBy("session_id").agg(F.min_by("user_message", F.struct("logged_at", "turn_id")).alias("question"))
-    first = first.withColumn("intent", E.intent(F.col("question"))["intent"]).select("session_id", "question", "intent")
+    first = E.with_intent(first, "question").select("session_id", "question", F.col("intent.intent").alias("intent"))
     b = blocks(spark, root).filter("session_id IS NOT NULL")
     facts = load(spark, root, "structured_facts").dropDuplicates(["id"]).groupBy(F.col("memory_id").alias("id")).agg(F.avg("confidence").alias("fact"))
     ev = load(spark, root, "timeline_events").groupBy(F.col("memory_id").alias("id")).agg(F.max("temporal_confidence").alias("time"))

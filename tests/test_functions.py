@@ -72,7 +72,8 @@ def test_custom_pattern(spark):
 
 
 def test_intent(spark):
-    got = value(spark, E.intent(F.lit("Which did I get first — Samsung or Dell?")))
+    asked = spark.createDataFrame([("Which did I get first — Samsung or Dell?",), (None,), ("",)], "question string")
+    got = E.with_intent(asked, "question").collect()[0]["intent"]
     assert (got["intent"], got["confidence"], got["secondary"]) == ("COMPARISON", 0.92, "TEMPORAL")
     assert value(spark, E.comparison_targets(F.lit("Which did I get first — Samsung or Dell?")))[1] == "Dell"
 
