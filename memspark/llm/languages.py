@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memspark.llm.samples import bounded
+
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "sv")
 DIM = 2048
 #: Letters of profiles; others count as a blank. Upper case and spacing do not count.
@@ -215,13 +217,7 @@ def model(documents: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, tuple
     code = F.split(F.lower(F.btrim("lang")), "[-_ ]")[0]
     known = F.create_map(*[x for w in wanted for x in (F.lit(w), F.lit(_CODE[w]))])
     labelled = documents.select("doc_id", "text", known[code].alias("k")).filter(F.col("k").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # a bounded number per language: hash order, cut by the smallest hashes
-    each = max(1, sample // len(LANGUAGES))
-    parts = [labelled.filter(F.col("k") == k).withColumn("h", F.xxhash64("doc_id", F.lit(SEED))).orderBy("h", "doc_id").limit(each).select("k", "text") for k in LANGUAGES]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    got = rows.collect()  # at most `sample` rows
+    got = bounded(labelled, "doc_id", max(1, sample // len(LANGUAGES)), SEED, "k")
     return train([r["text"] for r in got], [r["k"] for r in got])
 
 
