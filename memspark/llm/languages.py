@@ -97,6 +97,8 @@ def train(texts: list[str], langs: list[str]) -> tuple[np.ndarray, tuple[str, ..
     names = tuple(k for k, n in zip(LANGUAGES, own) if n)
     keep = np.ones(len(texts), bool)
     table = np.zeros((_N**3, max(1, len(names))), np.float32)
+    if not names:
+        return table, names
     for _ in range(2):
         proto = np.zeros((len(names), DIM))
         for i, k in enumerate(names):
