@@ -237,7 +237,6 @@ def _walk(left: np.ndarray, rights: list[np.ndarray], threshold: float) -> list[
     path: list[int] = []  # the current node's n-grams
     over = [0]  # overlap at each depth
     used = [0]  # how many of the left's n-grams the path has passed
-    dead: tuple[int, int] | None = None  # (depth, size of rights it holds for)
     for k in sorted(range(len(seqs)), key=seqs.__getitem__):
         seq = seqs[k]
         m = len(seq)
@@ -247,9 +246,7 @@ def _walk(left: np.ndarray, rights: list[np.ndarray], threshold: float) -> list[
         d = 0
         while d < len(path) and d < m and path[d] == seq[d]:
             d += 1
-        if dead and d >= dead[0] and m <= dead[1]:
-            continue  # the whole subtree was cut
-        dead = None
+        # below a cut the bounds are checked again: they hold for the sizes of one right set only
         del path[d:], over[d + 1 :], used[d + 1 :]
         while d < m:
             o, u = over[d], used[d]
@@ -265,8 +262,6 @@ def _walk(left: np.ndarray, rights: list[np.ndarray], threshold: float) -> list[
             s = o / (n + m - o)
             if s >= threshold - 1e-12:
                 out[k] = s
-        else:
-            dead = (d, m)
     return out
 
 

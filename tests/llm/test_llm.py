@@ -105,6 +105,12 @@ def test_walk_is_exact():
             assert s == (pytest.approx(j) if j >= t else -1)
 
 
+def test_walk_judges_every_size_below_a_cut():
+    left = np.arange(1, 21)
+    longer, shorter = np.arange(2, 35), np.array([*range(2, 21), 35])
+    assert D._walk(left, [longer, shorter], 0.6) == [-1, pytest.approx(19 / 21)]
+
+
 # ------------------------------------------------------------------ 4: pairs
 @pytest.mark.parametrize("reply, want", [(None, True), ("", True), (" \n", True), ("...", True), ("<p></p>", True), ("N/A", True), ("(no response)", True), ("Yes", False), ("No, not yet", False), ("None of them came.", False), ("7", False)])
 def test_says_nothing(reply, want):
