@@ -4,26 +4,21 @@ A text is the sequence of its words (maximal runs of letters and digits of the l
 of its ``GRAM``-word sequences. Two texts are linked if their sets' Jaccard similarity is at least a threshold.
 
 1. Texts with the same words are one class; the join runs over classes.
-2. First level of the tree. A link of sets leaves at most 1/4 of the two texts' n-grams unmatched (for 0.6), and
-   every cut between two matched stretches of words leaves at least two unmatched n-grams on either side. So two
-   linked texts of n and m n-grams also share at least ``shared_windows(n + m)`` windows of ``WINDOW`` words. The
-   windows of every text are put in one global order, rarest first, and a text enters the tree under each window
-   of its prefix, the shortest one that must hold a shared window. Rarity comes from counts of all windows of all
-   texts in a table of fixed size (``CELLS`` one-byte log counts), the only thing that is broadcast. A window
-   that fills its cell alone occurs once and leads nowhere. Windows found in texts of template language are far
-   rarer than single n-grams, so the branches stay short as the collection grows.
-   A window of more than about ``HOT`` texts makes no branch by itself where a text must share at least two: if two
-   texts share no rarer window of their prefixes, all windows they share are hot, and the two rarest of them lie in
-   both texts' prefixes for two shared windows; such texts enter under each pair of hot windows of that prefix.
-3. Pairs under one branch are dropped if the sizes or the windows that remain after the branch cannot reach the
-   bounds. A pair goes down only if it meets under as many branches as the bounds promise (up to 1 + ``SLACK``).
+2. First level of the tree. The n-grams of every text are put in one global order, rarest first, and a text enters
+   the tree under each n-gram of its prefix, the shortest one that must hold an n-gram shared with any linked text.
+   Rarity comes from counts of all n-grams of all texts in a table of fixed size (``CELLS`` one-byte log counts), the
+   only thing that is broadcast; the order need not be exact, only the same for all texts. An n-gram that fills its
+   cell alone occurs once and leads nowhere. An n-gram of more than about ``HOT`` texts makes no branch by itself
+   where a text must share at least two: if the rarest one two texts share is hot, so is the second, and both lie in
+   either text's prefix for two shared n-grams; such texts enter under each pair of hot n-grams of that prefix.
+3. Pairs under one branch are dropped if the sizes, the n-grams that remain after the branch, or the signatures cannot
+   reach the bounds. A signature is the parity of the set's counts in ``BITS`` cells: two sets differ in at least as
+   many n-grams as their signatures do in bits.
 4. Lower levels. For each left text the partners' n-gram sets, in one global order, are walked as a prefix tree:
    the overlap of a shared prefix is computed once, and a subtree is left as soon as its overlap and what remains
    cannot reach the bound. What survives has exactly the Jaccard similarity asked for.
 
-The link condition is checked exactly. In step 2, a stretch of n-grams that a text itself repeats elsewhere may be
-cut without an unmatched n-gram; the bound is lowered by what ``LOOSE`` such cuts can cost (texts that swap their
-tails at more repeated stretches than that could be missed).
+Every step drops only what cannot be linked, whatever words or phrases a text repeats.
 """
 
 from __future__ import annotations
@@ -43,19 +38,15 @@ from memspark.operators.graph import components
 from memspark.session import cut
 
 GRAM = 3
-WINDOW = 6
 CELL_BITS = 22
 CELLS = 1 << CELL_BITS
-#: Texts under one window from which on branches go one level deeper.
-HOT = 32
-#: A pair has to meet under 1 + SLACK branches, as far as its bounds promise so many.
-SLACK = 3
-#: Repeated stretches counted at most, see below.
-LOOSE = 4
+#: Texts with one n-gram from about which on branches go one level deeper.
+HOT = 1024
+#: Bits of a set's signature.
+BITS = 256
 _SLICE = 1 << 15
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_HOT_LEVEL = 1 + math.floor(8 * math.log2(HOT))
 
 
 #: Rows worked on at a time, which bounds a worker's memory.
@@ -108,27 +99,23 @@ def grams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return out[inside].view(np.int64), doc[:size][inside]
 
 
-def distinct(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' distinct values, ordered by text and value; and for every value given, whether its text repeats it."""
+def distinct(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' distinct values, ordered by text and value, and their text numbers."""
     order = np.lexsort((g, doc))
     gs, ds = g[order], doc[order]
     new = np.ones(len(gs), bool)
     new[1:] = (gs[1:] != gs[:-1]) | (ds[1:] != ds[:-1])
-    group = np.cumsum(new) - 1
-    repeated = np.empty(len(gs), bool)
-    repeated[order] = np.bincount(group, minlength=1)[group] > 1 if len(gs) else False
-    return gs[new], ds[new], repeated
+    return gs[new], ds[new]
 
 
-def stretches(repeated: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
-    """Number of stretches of repeated n-grams in each text."""
-    starts = repeated.copy()
-    starts[1:] &= ~(repeated[:-1] & (doc[1:] == doc[:-1]))
-    return np.bincount(doc[starts], minlength=texts)
+def signatures(g: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    """The parities of the texts' sets in ``BITS`` cells, as rows of 64-bit integers."""
+    n = np.bincount(doc * BITS + (g & (BITS - 1)), minlength=texts * BITS) & 1
+    return np.packbits(n.astype(np.uint8).reshape(texts, BITS), axis=1).view(np.int64)
 
 
-def cell(windows: np.ndarray) -> np.ndarray:
-    return (windows.view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def cell(values: np.ndarray) -> np.ndarray:
+    return (values.view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def _level(n: np.ndarray) -> np.ndarray:
@@ -136,41 +123,37 @@ def _level(n: np.ndarray) -> np.ndarray:
     return np.minimum(255, 1 + np.floor(8 * np.log2(n))).astype(np.uint8)
 
 
-def branches(win: np.ndarray, rare: np.ndarray, least: int, hot_level: int = _HOT_LEVEL) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, ranks) under which a text with windows ``win`` (ordered, with rarity levels ``rare``) enters the tree
-    if it shares at least ``least`` windows with any partner. A pair of windows
-    has the rank of its second, negated."""
-    first = np.arange(len(win) - least + 1)
+def branches(g: np.ndarray, rare: np.ndarray, least: int, hot_level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ranks) under which a text with n-grams ``g`` (ordered, with rarity levels ``rare``) enters the tree
+    if it shares at least ``least`` of them with any partner. A pair of n-grams has the rank of its second, negated."""
+    first = np.arange(len(g) - least + 1)
     first = first[rare[first] > 1]
     hot = rare > hot_level
-    # a text that may share just one window enters under every window, and under the pairs for those that do not
+    # a text that may share just one n-gram enters under every one, and under the pairs for those that do not
     cold = first if least < 2 else first[~hot[first]]
-    deep = np.flatnonzero(hot[: len(win) - least + 2])
+    deep = np.flatnonzero(hot[: len(g) - least + 2])
     if len(deep) < 2 or not hot[first].any():
-        return win[cold], cold
+        return g[cold], cold
     i, j = np.triu_indices(len(deep), 1)
     with np.errstate(over="ignore"):
-        both = (win[deep[i]].view(np.uint64) * _MIX + win[deep[j]].view(np.uint64)) * _MIX
-    return np.concatenate([win[cold], both.view(np.int64)]), np.concatenate([cold, -deep[j]])
+        both = (g[deep[i]].view(np.uint64) * _MIX + g[deep[j]].view(np.uint64)) * _MIX
+    return np.concatenate([g[cold], both.view(np.int64)]), np.concatenate([cold, -deep[j]])
 
 
-def shared_windows(total: int, threshold: float, loose: int = 0) -> int:
-    """Least number of windows that two linked texts of together ``total`` n-grams share (at least 1); ``loose``:
-    cuts that may cost no n-gram."""
-    overlap = threshold / (1 + threshold)
-    unmatched = 1 - 2 * overlap
-    return max(1, math.ceil(overlap * total - (WINDOW - GRAM) * (1 + loose + unmatched * total / 4) - 1e-9))
+def shared(total: int, threshold: float) -> int:
+    """Least number of n-grams that two linked texts of together ``total`` n-grams share."""
+    return max(1, math.ceil(threshold / (1 + threshold) * total - 1e-9))
 
 
 def _counts(docs: DataFrame, min_words: int) -> np.ndarray:
-    """log2 counts (eighths, at most 255; 0: none, 1: once) of all windows by cell."""
+    """log2 counts (eighths, at most 255; 0: none, 1: once) of all n-grams by cell."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hasher = np.zeros(CELLS, np.uint32), Hasher()
         for batch in _portions(batches):
             texts = [ws for ws in map(words, batch.column(0).to_pylist()) if len(ws) >= min_words]
-            win, _, _ = distinct(*grams(*hasher(texts), WINDOW))
-            np.add.at(total, cell(win), 1)
+            g, _ = distinct(*grams(*hasher(texts), GRAM))
+            np.add.at(total, cell(g), 1)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000].astype(np.int32)), pa.array(total[at[k : k + 100_000]].astype(np.int64))], ["cell", "n"])
@@ -188,8 +171,8 @@ def _counts(docs: DataFrame, min_words: int) -> np.ndarray:
     return out
 
 
-def _window_rows(docs: DataFrame, spark: SparkSession, threshold: float, min_words: int, hot: int) -> DataFrame:
-    """(field, id, cls, n, wins): n distinct n-grams; wins: the prefix of windows by rarity, with its rank."""
+def _rows(docs: DataFrame, spark: SparkSession, threshold: float, min_words: int, hot: int) -> DataFrame:
+    """(field, id, cls, n, bits, keys, ranks): n distinct n-grams, their signature, and the branches of the text."""
     table = spark.sparkContext.broadcast(_counts(docs, min_words))
     hot_level = 1 + math.floor(8 * math.log2(hot))
 
@@ -199,31 +182,29 @@ def _window_rows(docs: DataFrame, spark: SparkSession, threshold: float, min_wor
             read = [(f, i, ws) for f, i, ws in ((f, i, words(t)) for f, i, t in zip(*(batch.column(i).to_pylist() for i in range(3)))) if len(ws) >= min_words]
             if not read:
                 continue
-            h, doc = hasher([ws for _, _, ws in read])
-            g3, d3 = grams(h, doc, GRAM)
-            _, ds, repeated = distinct(g3, d3)
-            n, loose = np.bincount(ds, minlength=len(read)), np.minimum(LOOSE, stretches(repeated, d3, len(read)))
-            win, dw, _ = distinct(*grams(h, doc, WINDOW))
-            rare = level[cell(win)]
-            order = np.lexsort((win, rare, dw))
-            win, rare = win[order], rare[order]
-            at = np.concatenate([[0], np.cumsum(np.bincount(dw, minlength=len(read)))])
-            wins, ranks = [], []
+            g, doc = distinct(*grams(*hasher([ws for _, _, ws in read]), GRAM))
+            n = np.bincount(doc, minlength=len(read))
+            bits = signatures(g, doc, len(read))
+            rare = level[cell(g)]
+            order = np.lexsort((g, rare, doc))
+            g, rare = g[order], rare[order]
+            at = np.concatenate([[0], np.cumsum(n)])
+            keys, ranks = [], []
             for k in range(len(read)):
                 # partners have threshold * n n-grams at least
-                least = shared_windows(int(n[k]) + math.ceil(threshold * int(n[k])), threshold, int(loose[k]))
-                keys, where = branches(win[at[k] : at[k + 1]], rare[at[k] : at[k + 1]], least, hot_level)
-                wins.append(keys)
+                least = shared(int(n[k]) + math.ceil(threshold * int(n[k]) - 1e-9), threshold)
+                key, where = branches(g[at[k] : at[k + 1]], rare[at[k] : at[k + 1]], least, hot_level)
+                keys.append(key)
                 ranks.append(where.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([f for f, _, _ in read]), pa.array([i for _, i, _ in read]), pa.array([xxhash.xxh3_128_digest(" ".join(ws)) for _, _, ws in read], pa.binary()), pa.array(n.astype(np.int32)), pa.array(np.diff(at).astype(np.int32)),
-                    pa.array(loose.astype(np.int32)), pa.array(wins, pa.list_(pa.int64())), pa.array(ranks, pa.list_(pa.int32())),
+                    pa.array([f for f, _, _ in read]), pa.array([i for _, i, _ in read]), pa.array([xxhash.xxh3_128_digest(" ".join(ws)) for _, _, ws in read], pa.binary()), pa.array(n.astype(np.int32)),
+                    pa.array(list(bits), pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(ranks, pa.list_(pa.int32())),
                 ],
-                ["field", "id", "cls", "n", "n_win", "loose", "wins", "ranks"],
+                ["field", "id", "cls", "n", "bits", "keys", "ranks"],
             )
 
-    return docs.select("field", "id", "text").mapInArrow(rows, "field string, id string, cls binary, n int, n_win int, loose int, wins array<bigint>, ranks array<int>")
+    return docs.select("field", "id", "text").mapInArrow(rows, "field string, id string, cls binary, n int, bits array<bigint>, keys array<bigint>, ranks array<int>")
 
 
 def _walk(left: np.ndarray, rights: list[np.ndarray], threshold: float) -> list[float]:
@@ -300,7 +281,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         hasher = Hasher()
         for batch in _portions(batches):
             texts = [words(t) for t in batch.column(2).to_pylist()]
-            g, doc, _ = distinct(*grams(*hasher(texts), GRAM))
+            g, doc = distinct(*grams(*hasher(texts), GRAM))
             sets = np.split(g, np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1]) if texts else []
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["field", "rep", "grams"])
 
@@ -316,35 +297,21 @@ def links(docs: DataFrame, threshold: float = 0.8, min_words: int = 12, hot: int
     id given with several texts belongs to several classes; empty input gives empty tables. Texts have no length limit."""
     spark = docs.sparkSession
     docs = docs.select("field", "id", "text").filter("id IS NOT NULL AND text IS NOT NULL")
-    rows = cut(_window_rows(docs, spark, threshold, min_words, hot))
+    rows = cut(_rows(docs, spark, threshold, min_words, hot))
     reps = rows.groupBy("field", "cls").agg(F.min("id").alias("rep"))
     members = cut(rows.select("field", "cls", "id").distinct().join(reps, ["field", "cls"]).select("field", "rep", "id", "cls"))
     classes = members.select("field", "rep", "cls").distinct()
     own = rows.join(classes.select("field", F.col("rep").alias("id"), "cls"), ["field", "id", "cls"])
-    branch = own.select(_key("field", "id").alias("k"), "n", "n_win", "loose", F.explode(F.arrays_zip("wins", "ranks")).alias("w"))
-    branch = branch.select("k", "n", "n_win", "loose", F.col("w.wins").alias("win"), F.when(F.col("w.ranks") < 0, -F.col("w.ranks") - 1).otherwise(F.col("w.ranks")).alias("rank"), (F.col("w.ranks") < 0).alias("deep"))
-    left = branch.select("win", "deep", F.col("k").alias("ka"), F.col("n").alias("na"), F.col("n_win").alias("wa"), F.col("loose").alias("la"), F.col("rank").alias("ra"))
-    right = branch.select("win", "deep", F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("n_win").alias("wb"), F.col("loose").alias("lb"), F.col("rank").alias("rb"))
-    overlap = threshold / (1 + threshold)
-    slope = overlap - (WINDOW - GRAM) * (1 - 2 * overlap) / 4
-    least = lambda total, loose: F.greatest(F.lit(1), F.ceil(F.lit(slope) * total - F.lit(WINDOW - GRAM) * (1 + loose) - F.lit(1e-9)))
-    alone = lambda n, loose: least(F.col(n) + F.ceil(F.col(n) * threshold), F.col(loose))
-    need = least(F.col("na") + F.col("nb"), F.least("la", "lb"))
-    floor = F.greatest(need - SLACK, alone("na", "la"), alone("nb", "lb"))
-    # windows of either text from the rank on at which only `floor` - 1 are left hold at most so many of those shared
-    met = (
-        left.join(right, ["win", "deep"])
-        .filter(F.col("ka") < F.col("kb"))
-        .filter((F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9))
-        .withColumn("need", need)
-        .withColumn("floor", F.least(floor, F.col("need")))
-        .filter(F.least(F.col("wa") - F.col("ra"), F.col("wb") - F.col("rb")) >= F.col("floor"))
-        .groupBy("ka", "kb")
-        .agg(F.count_if(~F.col("deep")).cast("int").alias("single"), F.count_if("deep").cast("int").alias("double"), F.min(F.col("need") - F.col("floor") + 1).cast("int").alias("least"))
-    )
-    # k hot windows shared make k (k - 1) / 2 pairs; without a pair, one may be shared
-    hot = F.when(F.col("double") > 0, (1 + F.sqrt(1 + 8 * F.col("double"))) / 2).otherwise(F.lit(1))
-    pairs = cut(met.filter((F.col("single") > 0) | (F.col("double") > 0)).filter(F.col("single") + hot + 1e-9 >= F.col("least")).select("ka", "kb"))
+    words_of = [F.col("bits")[i].alias(f"s{i}") for i in range(BITS // 64)]
+    branch = own.select(_key("field", "id").alias("k"), "field", "n", *words_of, F.explode(F.arrays_zip("keys", "ranks")).alias("b"))
+    deep = F.col("b.ranks") < 0
+    branch = branch.select(F.xxhash64("field", "b.keys", deep).alias("branch"), "k", "n", F.when(deep, -F.col("b.ranks") - 1).otherwise(F.col("b.ranks")).alias("rank"), *(f"s{i}" for i in range(BITS // 64)))
+    left, right = (branch.select("branch", *(F.col(c).alias(c + side) for c in branch.columns[1:])) for side in "ab")
+    total = F.col("na") + F.col("nb")
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * total - F.lit(1e-9))
+    differ = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(1, BITS // 64)), F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))))
+    met = (F.col("ka") < F.col("kb")) & (F.least(F.col("na") - F.col("ranka"), F.col("nb") - F.col("rankb")) >= need) & (differ <= total - 2 * need)
+    pairs = cut(left.join(right, (left["branch"] == right["branch"]) & met).select("ka", "kb").distinct())
     ids = pairs.select(F.col("ka").alias("k")).unionByName(pairs.select(F.col("kb").alias("k"))).distinct()
     wanted = members.filter("rep = id").select("field", "id", _key("field", "id").alias("k")).join(ids, "k", "left_semi").select("field", "id").distinct()
     sets = cut(_sets(docs.join(wanted, ["field", "id"], "left_semi")).distinct().withColumn("k", _key("field", "rep")))

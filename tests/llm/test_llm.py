@@ -89,6 +89,18 @@ def test_near_duplicates_match_brute_force(spark, threshold, hot):
     assert got == brute_pairs(rows, threshold)
 
 
+@pytest.mark.parametrize("hot", [D.HOT, 1])
+def test_near_duplicates_of_lists_in_another_order(spark, hot):
+    lists = []
+    for k, ws in enumerate(["bank vet school dentist", "baker tailor plumber lawyer surgeon cobbler", "king queen bishop knight rook pawn herald jester"]):
+        items = [f"call the {w}." for w in ws.split()]
+        lists += [(f"a{k}", " ".join(items)), (f"b{k}", " ".join(items[::-1]))]
+    want = brute_pairs(lists, 0.6)
+    assert len(want) == 3
+    docs = spark.createDataFrame([("content", i, t) for i, t in lists], "field string, id string, text string")
+    assert {(r.left_id, r.right_id) for r in D.pairs(*D.links(docs, 0.6, hot=hot)).collect()} == want
+
+
 def test_near_duplicates_empty(spark):
     found, members = D.links(spark.createDataFrame([], "field string, id string, text string"), 0.6)
     assert D.pairs(found, members).count() == 0 and D.groups(found, members).count() == 0
