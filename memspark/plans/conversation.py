@@ -148,8 +148,17 @@ def ablation_weights(spark: SparkSession, root: str) -> DataFrame:
 
 
 def comparison_groups(spark: SparkSession, root: str) -> DataFrame:
-    """Up to eight memories of each entity, those about buying or setting up first, then the latest."""
-    e = load(spark, root, "entities").filter("entity_type IN ('device', 'organization')").select(F.col("id").alias("entity_id"), F.explode("memory_ids").alias("memory_id")).distinct()
+    """Up to eight memories of each device and organization, those about buying or setting up first, then the latest."""
+    return _groups(spark, root, load(spark, root, "entities").filter("entity_type IN ('device', 'organization')"))
+
+
+def comparison_groups_every(spark: SparkSession, root: str) -> DataFrame:
+    """The same of every entity."""
+    return _groups(spark, root, load(spark, root, "entities"))
+
+
+def _groups(spark: SparkSession, root: str, entities: DataFrame) -> DataFrame:
+    e = entities.select(F.col("id").alias("entity_id"), F.explode("memory_ids").alias("memory_id")).distinct()
     b = blocks(spark, root).select(F.col("id").alias("memory_id"), "created_at", F.lower("content").rlike("ordered|installed|bought|set up|started|purchased").alias("about"))
     order = Window.partitionBy("entity_id").orderBy(F.desc("about"), F.desc("created_at"), "memory_id")
     return e.join(b, "memory_id").withColumn("place", F.row_number().over(order)).filter("place <= 8").select("entity_id", "memory_id", "about", "place")
@@ -194,7 +203,7 @@ def session_index(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    chat_window, hygiene_verdict, clean_response, classify_turns, query_intent, comparison_targets, event_type_infer, knn_cosine, knn_label_vote, hybrid_rerank, intent_weighted_rank, audit_top5, rank_reasoning, ablation_weights, comparison_groups,
+    chat_window, hygiene_verdict, clean_response, classify_turns, query_intent, comparison_targets, event_type_infer, knn_cosine, knn_label_vote, hybrid_rerank, intent_weighted_rank, audit_top5, rank_reasoning, ablation_weights, comparison_groups, comparison_groups_every,
     merge_flat, merge_and_rank, run_summary, stage_timing, session_index,
 )}
 
@@ -234,6 +243,11 @@ g AS (SELECT entity_id, memory_id, regexp_matches(lower(content), 'ordered|insta
   FROM e JOIN b ON b.id = memory_id QUALIFY place <= 8),
 f AS (SELECT memory_id, round(least(0.98::DOUBLE, arg_min(0.95::DOUBLE - 0.05::DOUBLE * place, entity_id) + 0.10::DOUBLE * (count(*) - 1)), 6) AS score, count(*)::BIGINT AS n FROM g GROUP BY memory_id)
 """
+_GROUPS_EVERY = """WITH b AS (SELECT * FROM memory_blocks QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_accessed_at DESC, access_count DESC) = 1),
+e AS (SELECT DISTINCT id AS entity_id, unnest(memory_ids) AS memory_id FROM entities),
+g AS (SELECT entity_id, memory_id, regexp_matches(lower(content), 'ordered|installed|bought|set up|started|purchased') AS about, row_number() OVER (PARTITION BY entity_id ORDER BY regexp_matches(lower(content), 'ordered|installed|bought|set up|started|purchased') DESC, created_at DESC, memory_id)::INTEGER AS place
+  FROM e JOIN b ON b.id = memory_id QUALIFY place <= 8)
+"""
 _KIND = "CASE tag WHEN 'USER_PROFILE' THEN 'USER_FACT' WHEN 'PROJECT_FACT' THEN 'PROJECT_FACT' WHEN 'EPISODIC' THEN 'EVENT' ELSE 'TEMPORARY_CONTEXT' END"
 _FITS = " OR ".join(f"(intent = '{i}' AND kind IN ({', '.join(_lit(k) for k in ks)}))" for i, ks in V.FITTING.items())
 _W = lambda k: "(CASE intent " + " ".join(f"WHEN '{i}' THEN {w[k]}" for i, w in V.WEIGHTS.items()) + " END)::DOUBLE"
@@ -290,6 +304,7 @@ SELECT query_id, neighbour_id, hybrid, CASE WHEN low THEN 'low_similarity' WHEN
     )
     + ") v(mode, intent, signal, weight)",
     "comparison_groups": _GROUPS + "SELECT entity_id, memory_id, about, place FROM g",
+    "comparison_groups_every": _GROUPS_EVERY + "SELECT entity_id, memory_id, about, place FROM g",
     "merge_flat": _GROUPS + "SELECT memory_id, score, n FROM f",
     "merge_and_rank": _GROUPS + "SELECT memory_id, score, 'primary' AS origin FROM f UNION ALL SELECT DISTINCT x, 0.15::DOUBLE, 'secondary' FROM (SELECT unnest(memory_ids) AS x FROM entities WHERE needs_review) WHERE x <> '' AND x NOT IN (SELECT memory_id FROM f)",
     "run_summary": T + "SELECT provider, model, count(*)::BIGINT AS n_turns, round(avg(CASE WHEN isnan(latency_ms) THEN NULL ELSE latency_ms END), 4) AS mean_latency, round(avg(context_block_count), 4) AS mean_blocks, max(context_token_estimate) AS peak_tokens FROM t GROUP BY 1, 2",

@@ -82,6 +82,18 @@ def events_union(spark: SparkSession, root: str) -> DataFrame:
     return events(spark, root).withColumn("event_id", F.lower(F.trim("id"))).join(ids, "event_id", "left_semi").select("event_id", "event_type")
 
 
+def events_for_every_entity(spark: SparkSession, root: str) -> DataFrame:
+    """Events of all linked entities, those of unknown type included."""
+    e = events(spark, root).select(F.lower(F.trim("id")).alias("event_id"), "event_type", F.unix_micros("earliest").alias("earliest_us"))
+    return links(spark, root).join(e, "event_id").select("entity_id", "event_id", "event_type", "earliest_us").distinct()
+
+
+def events_union_every(spark: SparkSession, root: str) -> DataFrame:
+    """Distinct events of all linked entities."""
+    ids = links(spark, root).select("event_id").distinct()
+    return events(spark, root).withColumn("event_id", F.lower(F.trim("id"))).join(ids, "event_id", "left_semi").select("event_id", "event_type").distinct()
+
+
 def _first(spark: SparkSession, root: str) -> DataFrame:
     e = events(spark, root).filter("earliest IS NOT NULL AND latest IS NOT NULL").select(F.lower(F.trim("id")).alias("event_id"), "event_type", "earliest", "latest", "temporal_confidence")
     one = links(spark, root).join(e, "event_id").groupBy("entity_id").agg(F.min(F.struct("earliest", "event_id", "latest", "temporal_confidence", "event_type")).alias("f"))
@@ -224,7 +236,7 @@ def shorthand_asof(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    predicate_norm, temporal_bound, interval_midpoint, events_in_range, is_before, timeline_store, events_for_entity, events_union, first_event, compare_order, build_timeline, timeline_first_200, event_delete_cascade, stable_facts,
+    predicate_norm, temporal_bound, interval_midpoint, events_in_range, is_before, timeline_store, events_for_entity, events_union, events_for_every_entity, events_union_every, first_event, compare_order, build_timeline, timeline_first_200, event_delete_cascade, stable_facts,
     conflict_flags, fact_accessors, fact_extract, name_similarity, entity_merge, duplicate_entities, entity_overlap, timeline_relevance, cold_demotion, type_promotion, shorthand_asof,
 )}
 
@@ -280,6 +292,8 @@ FROM d JOIN f ON f.memory_id = d.memory_id AND f.id <> d.id""",
     "events_for_entity": EV
     + "SELECT DISTINCT entity_id, event_id, event_type, epoch_us(earliest)::BIGINT AS earliest_us FROM li JOIN ev ON lower(trim(ev.id)) = event_id WHERE entity_id IN (SELECT id FROM entities WHERE entity_type = 'device')",
     "events_union": EV + "SELECT DISTINCT lower(trim(ev.id)) AS event_id, event_type FROM ev WHERE lower(trim(ev.id)) IN (SELECT event_id FROM li WHERE entity_id IN (SELECT id FROM entities WHERE entity_type IN ('place', 'project')))",
+    "events_for_every_entity": EV + "SELECT DISTINCT entity_id, event_id, event_type, epoch_us(earliest)::BIGINT AS earliest_us FROM li JOIN ev ON lower(trim(ev.id)) = event_id",
+    "events_union_every": EV + "SELECT DISTINCT lower(trim(ev.id)) AS event_id, event_type FROM ev WHERE lower(trim(ev.id)) IN (SELECT event_id FROM li)",
     "first_event": EV + "SELECT entity_id, event_id, event_type, epoch_us(earliest)::BIGINT AS earliest_us FROM first",
     "compare_order": EV
     + f""", w AS (SELECT DISTINCT first.*, e.entity_type FROM first JOIN entities e ON e.id = first.entity_id), b AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY entity_type ORDER BY entity_id) = 1),

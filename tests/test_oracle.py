@@ -39,3 +39,12 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", ["clean_response", "comparison_targets", "rank_reasoning", "keyword_coverage", "type_promotion", "shorthand_asof"])
 def test_without_sql(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() >= 0
+
+
+def test_events_of_every_entity(spark, sf, duck):
+    """Every entity with a link to an event comes out, whatever its type."""
+    q = entry.queries()
+    want = duck.execute("SELECT count(DISTINCT entity_id) FROM entity_event_map WHERE lower(trim(event_id)) IN (SELECT lower(trim(id)) FROM timeline_events)").fetchone()[0]
+    assert q["events_for_every_entity"](spark, sf).select("entity_id").distinct().count() == want
+    assert q["events_for_entity"](spark, sf).select("entity_id").distinct().count() < want
+    assert {r[0] for r in q["events_for_every_entity"](spark, sf).select("event_id").collect()} == {r[0] for r in q["events_union_every"](spark, sf).select("event_id").collect()}
