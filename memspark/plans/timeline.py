@@ -161,6 +161,14 @@ def fact_extract(spark: SparkSession, root: str) -> DataFrame:
     return E.facts(f)
 
 
+def fact_extract_stored(spark: SparkSession, root: str) -> DataFrame:
+    """Facts stated in the whole texts of memory blocks and of users' messages."""
+    b = load(spark, root, "memory_blocks").select(F.lit("memory_blocks").alias("src"), F.col("id").alias("memory_id"), F.col("content").alias("text"))
+    t = load(spark, root, "turns").select(F.lit("turns").alias("src"), F.col("turn_id").cast("string").alias("memory_id"), F.col("user_message").alias("text"))
+    parts = [E.facts(x.filter("memory_id IS NOT NULL").distinct()).withColumn("src_table", F.lit(k)) for k, x in (("memory_blocks", b), ("turns", t))]
+    return E.union_all(parts)
+
+
 def name_similarity(spark: SparkSession, root: str) -> DataFrame:
     """Mentions against the names of the entities of their memory."""
     m = load(spark, root, "entity_mentions").filter("NOT is_shorthand").select("mention_id", "memory_id", "surface_form").distinct()
@@ -237,7 +245,7 @@ def shorthand_asof(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     predicate_norm, temporal_bound, interval_midpoint, events_in_range, is_before, timeline_store, events_for_entity, events_union, events_for_every_entity, events_union_every, first_event, compare_order, build_timeline, timeline_first_200, event_delete_cascade, stable_facts,
-    conflict_flags, fact_accessors, fact_extract, name_similarity, entity_merge, duplicate_entities, entity_overlap, timeline_relevance, cold_demotion, type_promotion, shorthand_asof,
+    conflict_flags, fact_accessors, fact_extract, fact_extract_stored, name_similarity, entity_merge, duplicate_entities, entity_overlap, timeline_relevance, cold_demotion, type_promotion, shorthand_asof,
 )}
 
 EV = "WITH ev AS (SELECT * FROM timeline_events QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC) = 1),\nfa AS (SELECT * FROM structured_facts QUALIFY row_number() OVER (PARTITION BY id ORDER BY id) = 1),\nli AS (SELECT DISTINCT entity_id, lower(trim(event_id)) AS event_id FROM entity_event_map),\nfirst AS (SELECT entity_id, lower(trim(id)) AS event_id, event_type, earliest, latest, temporal_confidence FROM li JOIN ev ON lower(trim(ev.id)) = li.event_id WHERE earliest IS NOT NULL AND latest IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY earliest, event_id) = 1)\n"
@@ -331,4 +339,8 @@ SELECT id, 0.3::DOUBLE AS weight FROM a WHERE age >= 180 AND least(1.0::DOUBLE,
     + " UNION ALL ".join(f"SELECT memory_id, '{p}' AS predicate, unnest(regexp_extract_all(text, '{rx.replace(chr(39), chr(39) * 2)}', {g})) AS o, '{k}' AS fact_type FROM t" for rx, g, p, k in V.FACT_RULES)
     + """), c AS (SELECT memory_id, predicate, regexp_replace(trim(o), '[.,;]+$', '') AS object_value, fact_type FROM r)
 SELECT memory_id, 'user' AS subject, predicate, object_value, fact_type, 0.65::DOUBLE AS confidence FROM c WHERE object_value <> '' AND length(object_value) <= 120""",
+    "fact_extract_stored": """WITH t AS (SELECT DISTINCT 'memory_blocks' AS src_table, id AS memory_id, content AS text FROM memory_blocks WHERE id IS NOT NULL UNION ALL SELECT DISTINCT 'turns', turn_id::VARCHAR, user_message FROM turns WHERE turn_id IS NOT NULL), r AS ("""
+    + " UNION ALL ".join(f"SELECT src_table, memory_id, '{p}' AS predicate, unnest(regexp_extract_all(text, '{rx.replace(chr(39), chr(39) * 2)}', {g})) AS o, '{k}' AS fact_type FROM t" for rx, g, p, k in V.FACT_RULES)
+    + """), c AS (SELECT src_table, memory_id, predicate, regexp_replace(trim(o), '[.,;]+$', '') AS object_value, fact_type FROM r)
+SELECT memory_id, 'user' AS subject, predicate, object_value, fact_type, 0.65::DOUBLE AS confidence, src_table FROM c WHERE object_value <> '' AND length(object_value) <= 120""",
 }

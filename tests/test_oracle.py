@@ -48,3 +48,11 @@ def test_events_of_every_entity(spark, sf, duck):
     assert q["events_for_every_entity"](spark, sf).select("entity_id").distinct().count() == want
     assert q["events_for_entity"](spark, sf).select("entity_id").distinct().count() < want
     assert {r[0] for r in q["events_for_every_entity"](spark, sf).select("event_id").collect()} == {r[0] for r in q["events_union_every"](spark, sf).select("event_id").collect()}
+
+
+def test_facts_of_stored_texts(spark, tmp_path):
+    text = "Es war schön.\nI bought a lamp in May 2021.\nBut " + "long " * 3000 + "\nI live in Berlin."
+    spark.createDataFrame([("b1", text)], "id string, content string").write.parquet(str(tmp_path / "memory_blocks.parquet"))
+    spark.createDataFrame([(7, "Hello\nI work at Zabok."), (8, None)], "turn_id bigint, user_message string").write.parquet(str(tmp_path / "turns.parquet"))
+    got = {(r.src_table, r.memory_id, r.predicate, r.object_value) for r in entry.queries()["fact_extract_stored"](spark, str(tmp_path)).collect()}
+    assert got == {("memory_blocks", "b1", "purchased", "lamp"), ("memory_blocks", "b1", "lives_in", "Berlin"), ("turns", "7", "works_at", "Zabok")}
