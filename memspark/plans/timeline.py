@@ -190,18 +190,37 @@ def entity_merge(spark: SparkSession, root: str) -> DataFrame:
     return both.select("entity_type", "name", "id", "reference_count", "first_us", "last_us", F.coalesce("n_memories", F.lit(0)).alias("n_memories"), "n_rows")
 
 
-def duplicate_entities(spark: SparkSession, root: str) -> DataFrame:
-    """Flagged entities against all of their type, of similarity at least 0.75, that share the rarest word of either.
+def _like_flagged(spark: SparkSession, root: str) -> DataFrame:
+    """Flagged entities against all of their type, of similarity at least 0.75: (left_id, right_id, a, b, similarity).
 
-    Names of this similarity share the rarest word of the shorter one; a word of many names is nearly never that."""
+    Names of n words whose words overlap to 0.75 share one of the floor(n / 4) + 1 rarest words of either. A name that
+    another one contains has all its character trigrams there (if it is shorter, itself), so the rarest of them too."""
     e = load(spark, root, "entities").select("id", "name", "entity_type", "needs_review").filter("name IS NOT NULL AND entity_type IS NOT NULL").dropDuplicates(["id"])
-    t = e.withColumn("token", F.explode(X.name_tokens(F.col("name"))))
+    t = e.withColumn("tokens", X.name_tokens(F.col("name"))).withColumns({"n_tokens": F.size("tokens"), "token": F.explode("tokens")})
     seen = t.groupBy("entity_type", "token").agg(F.count("*").alias("n"))
-    rarest = t.join(seen, ["entity_type", "token"]).groupBy("id", "entity_type", "name", "needs_review").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    order = Window.partitionBy("id").orderBy("n", "token")
+    prefix = t.join(seen, ["entity_type", "token"]).withColumn("place", F.row_number().over(order)).filter("place <= n_tokens div 4 + 1").select("token", "entity_type", "id", "name", "needs_review")
+    pieces = lambda k: F.transform(F.sequence(F.lit(1), F.length("low") - (k - 1)), lambda i: F.substr("low", i, F.lit(k)))
+    low = e.withColumn("low", F.lower("name")).filter("low <> ''")
+    grams = {k: low.filter(F.length("low") >= k).withColumn("token", F.explode(F.array_distinct(pieces(k)))) for k in (1, 2, 3)}
+    inner = E.union_all([grams[1].filter("length(low) = 1"), grams[2].filter("length(low) = 2"), grams[3]])
+    outer = E.union_all(list(grams.values()))
+    seen = outer.groupBy("entity_type", "token").agg(F.count("*").alias("n"))
+    rarest = inner.join(seen, ["entity_type", "token"]).groupBy("id", "entity_type", "name", "needs_review").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
     left = lambda df: df.filter("needs_review").select("token", "entity_type", F.col("id").alias("left_id"), F.col("name").alias("a"))
     right = lambda df: df.select("token", "entity_type", F.col("id").alias("right_id"), F.col("name").alias("b"))
-    p = left(rarest).join(right(t), ["token", "entity_type"]).unionByName(left(t).join(right(rarest), ["token", "entity_type"])).filter("left_id <> right_id").select("left_id", "right_id", "a", "b").distinct()
-    return p.withColumn("similarity", F.round(X.name_similarity(F.col("a"), F.col("b")), 6)).filter("similarity >= 0.75").select("left_id", "right_id", "similarity")
+    met = [left(x).join(right(y), ["token", "entity_type"]).filter("left_id <> right_id").select("left_id", "right_id", "a", "b") for x, y in ((prefix, prefix), (rarest, outer), (outer, rarest))]
+    return E.union_all(met).distinct().withColumn("similarity", F.round(X.name_similarity(F.col("a"), F.col("b")), 6)).filter("similarity >= 0.75")
+
+
+def duplicate_entities(spark: SparkSession, root: str) -> DataFrame:
+    """Flagged entities against all of their type, of similarity at least 0.75, that share a word."""
+    return _like_flagged(spark, root).filter(F.arrays_overlap(X.name_tokens(F.col("a")), X.name_tokens(F.col("b")))).select("left_id", "right_id", "similarity")
+
+
+def duplicate_entities_every(spark: SparkSession, root: str) -> DataFrame:
+    """The same with names that one name contains without a whole word in common."""
+    return _like_flagged(spark, root).select("left_id", "right_id", "similarity")
 
 
 def entity_overlap(spark: SparkSession, root: str) -> DataFrame:
@@ -245,7 +264,7 @@ def shorthand_asof(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     predicate_norm, temporal_bound, interval_midpoint, events_in_range, is_before, timeline_store, events_for_entity, events_union, events_for_every_entity, events_union_every, first_event, compare_order, build_timeline, timeline_first_200, event_delete_cascade, stable_facts,
-    conflict_flags, fact_accessors, fact_extract, fact_extract_stored, name_similarity, entity_merge, duplicate_entities, entity_overlap, timeline_relevance, cold_demotion, type_promotion, shorthand_asof,
+    conflict_flags, fact_accessors, fact_extract, fact_extract_stored, name_similarity, entity_merge, duplicate_entities, duplicate_entities_every, entity_overlap, timeline_relevance, cold_demotion, type_promotion, shorthand_asof,
 )}
 
 EV = "WITH ev AS (SELECT * FROM timeline_events QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC) = 1),\nfa AS (SELECT * FROM structured_facts QUALIFY row_number() OVER (PARTITION BY id ORDER BY id) = 1),\nli AS (SELECT DISTINCT entity_id, lower(trim(event_id)) AS event_id FROM entity_event_map),\nfirst AS (SELECT entity_id, lower(trim(id)) AS event_id, event_type, earliest, latest, temporal_confidence FROM li JOIN ev ON lower(trim(ev.id)) = li.event_id WHERE earliest IS NOT NULL AND latest IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY earliest, event_id) = 1)\n"
@@ -328,6 +347,9 @@ FROM e LEFT JOIN m ON m.entity_type IS NOT DISTINCT FROM e.entity_type AND m.nam
     "duplicate_entities": f"""WITH e AS (SELECT * FROM entities WHERE name IS NOT NULL AND entity_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY id) = 1),
 p AS (SELECT x.id AS left_id, y.id AS right_id, x.name AS a, y.name AS b, {_TOK.format("x.name")} AS ta, {_TOK.format("y.name")} AS tb FROM e x JOIN e y ON x.entity_type = y.entity_type AND x.id <> y.id AND x.needs_review),
 s AS (SELECT left_id, right_id, round({_SIM}, 6) AS similarity FROM p WHERE list_has_any(ta, tb)) SELECT * FROM s WHERE similarity >= 0.75""",
+    "duplicate_entities_every": f"""WITH e AS (SELECT * FROM entities WHERE name IS NOT NULL AND entity_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY id) = 1),
+p AS (SELECT x.id AS left_id, y.id AS right_id, x.name AS a, y.name AS b, {_TOK.format("x.name")} AS ta, {_TOK.format("y.name")} AS tb FROM e x JOIN e y ON x.entity_type = y.entity_type AND x.id <> y.id AND x.needs_review),
+s AS (SELECT left_id, right_id, round({_SIM}, 6) AS similarity FROM p) SELECT * FROM s WHERE similarity >= 0.75""",
     "entity_overlap": """WITH e AS (SELECT id, memory_id, entities FROM timeline_events WHERE len(entities) > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY id) = 1), q AS (SELECT DISTINCT id, lower(trim(memory_id)) AS memory_id, unnest(entities) AS entity_id FROM e),
 m AS (SELECT DISTINCT id AS entity_id, lower(trim(x)) AS memory_id FROM (SELECT id, unnest(memory_ids) AS x FROM entities))
 SELECT q.id, round(count(m.entity_id) / count(*)::DOUBLE, 6) AS overlap FROM q LEFT JOIN m ON m.entity_id = q.entity_id AND m.memory_id = q.memory_id GROUP BY q.id""",

@@ -56,3 +56,15 @@ def test_facts_of_stored_texts(spark, tmp_path):
     spark.createDataFrame([(7, "Hello\nI work at Zabok."), (8, None)], "turn_id bigint, user_message string").write.parquet(str(tmp_path / "turns.parquet"))
     got = {(r.src_table, r.memory_id, r.predicate, r.object_value) for r in entry.queries()["fact_extract_stored"](spark, str(tmp_path)).collect()}
     assert got == {("memory_blocks", "b1", "purchased", "lamp"), ("memory_blocks", "b1", "lives_in", "Berlin"), ("turns", "7", "works_at", "Zabok")}
+
+
+def test_duplicates_that_share_no_rarest_word(spark, tmp_path):
+    names = {"g2": "Galaxy S2", "g22": "Galaxy S22", "w1": "a1 b c d e f g", "w2": "a2 b c d e f g", "p": "Ann", "q": "Annabel Lee", "s": "An"}
+    rows = [(i, n, "device", True) for i, n in names.items()] + [(f"x{i}", f"Galaxy {w} b c d e f g", "device", False) for i, w in enumerate("klmn")]
+    spark.createDataFrame(rows, "id string, name string, entity_type string, needs_review boolean").write.parquet(str(tmp_path / "entities.parquet"))
+    q = entry.queries()
+    shared = {("g2", "g22"), ("w1", "w2")}
+    got = {(r.left_id, r.right_id) for r in q["duplicate_entities"](spark, str(tmp_path)).collect() if not r.right_id.startswith("x") and r.left_id < r.right_id}
+    assert got == shared
+    got = {(r.left_id, r.right_id) for r in q["duplicate_entities_every"](spark, str(tmp_path)).collect() if not r.right_id.startswith("x") and r.left_id < r.right_id}
+    assert got == shared | {("p", "q"), ("p", "s"), ("q", "s")}
