@@ -128,8 +128,11 @@ class Featuriser:
         ]
 
     def speak(self, text: str) -> np.ndarray | None:
-        g = L.ngrams(L.letters(text[:100_000]))  # enough to know a language: every further part only confirms it
-        return self.table[g].sum(0) / np.sqrt(len(g)) if len(g) >= 12 and len(self.langs) > 1 else None
+        g = L.ngrams(L.letters(text))
+        if len(g) < 12 or len(self.langs) < 2:
+            return None
+        # in blocks, so that memory stays bounded
+        return sum(self.table[g[k : k + 100_000]].sum(0) for k in range(0, len(g), 100_000)) / np.sqrt(len(g))
 
     def grams(self, reply: str) -> np.ndarray:
         tail = reply.rstrip()

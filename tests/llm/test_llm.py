@@ -141,6 +141,14 @@ def table():
     return L.train([t for t, _ in named], [k for _, k in named])
 
 
+def test_language_of_the_whole_text(table):
+    f = P.Featuriser(*table, {})
+    english, german = "the weather in the north was cold and the people stayed at home. ", "das Wetter im Norden war kalt und die Leute blieben alle zu Hause. "
+    text = english * (110_000 // len(english)) + german * (330_000 // len(german))
+    assert f.langs[int(np.argmax(f.speak(text[:100_000])))] == "en"
+    assert f.langs[int(np.argmax(f.speak(text)))] == "de"
+
+
 def test_made_defects_are_found(turns, table):
     full = turns.dropna(subset=["user_message", "assistant_reply"])
     model = P.train(list(zip(full.user_message, full.assistant_reply))[:700], *table)
