@@ -408,7 +408,7 @@ def defects(turns: DataFrame, documents: DataFrame, sample: int = SAMPLE) -> Dat
     full = turns.select("turn_id", "user_message", "assistant_reply").filter("turn_id IS NOT NULL")
     usable = full.filter("assistant_reply IS NOT NULL AND user_message IS NOT NULL")
     got = list({r["turn_id"]: r for r in bounded(usable, "turn_id", sample, SEED)}.values())
-    model = train([(r["user_message"], r["assistant_reply"]) for r in got], *L.model(documents, LANGUAGE_SAMPLE))
+    model = train([(r["user_message"], r["assistant_reply"]) for r in got], *L.model(documents, LANGUAGE_SAMPLE)[:2])
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -226,6 +226,22 @@ def test_leaks_match_brute_force(spark):
     assert got
 
 
+def test_leak_with_one_edit_is_near():
+    item = "the heavy monitor stood beside the window until march"
+    docs = [f"First words here. {item.upper()}, and more.", f"Some talk. {item.replace('beside', 'besides')} and more.", f"None of {item[:20]} it.", ""]
+    found = K.leaked([K.normalise(d) for d in docs], K.Index([K.normalise(item)]))
+    assert found[0][0][3] == 9 and found[1][0][3] == 0 and set(found) == {0, 1}
+    assert K.leaked([K.normalise(d) for d in docs], K.Index([])) == {}
+
+
+def test_many_items_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_CHARS", 100)
+    text = lambda k: " ".join(f"w{k}{c}" for c in "abcdefghij")
+    items = spark.createDataFrame([(k, text(k), None) for k in range(9)], "item_id bigint, passage string, question string")
+    docs = spark.createDataFrame([(k, "see " + text(k)) for k in range(9)], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in K.find(docs, items).collect()} == {(k, k) for k in range(9)}
+
+
 def test_alignment_counts_edits():
     a, b = "the quick brown fox jumps over the lazy dog", "the quick brown cat jumps over the lazy dog"
     m, e, end = K.align(a, b, 0, 4)
@@ -278,12 +294,18 @@ def test_profile_table_is_the_inner_product():
     g = L.ngrams(L.letters("the lazy dog of the house"))
     table, names = L.train(["the lazy dog of the house and the garden", "der alte Hund und das Haus im Garten"], ["en", "de"])
     profile = L.ngram_vectors(g, base).sum(0).astype(float)
-    cos = L.scores(g, table)
     n = np.unique(g, return_counts=True)[1]
+    cos = table[g].sum(0) / np.sqrt((n * n).sum())
+    assert np.allclose(L.piece_scores(["x y", "the lazy dog of the house", "", "a"], table)[0][1], cos)
     assert abs(np.linalg.norm(profile) / np.sqrt(L.DIM) / np.sqrt((n * n).sum()) - 1) < 0.2
     assert names[int(np.argmax(cos))] == "en"
 
 
+def test_texts_together_are_judged_as_alone(table):
+    texts = ["", "Good morning. Wie geht es dir heute?\nJe ne sais pas.", "a\0b", "12", "Ångström e\u0301te\u0301 och så vidare", "x" * 3000]
+    assert [L.segments(t, *table) for t in texts] == L.segment_all(texts, *table, 30.0)
+
+
 def test_identify_awkward_rows(spark):
     docs = spark.createDataFrame([(1, None, None, 0), (2, "", "en", 0), (3, "one two three", None, 0), (3, "one two three", None, 0)], "doc_id bigint, text string, lang string, seg_no int")
     assert L.identify(docs).count() == 0  # no label to learn from
