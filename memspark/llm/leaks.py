@@ -5,14 +5,17 @@ If a stretch of an evaluation text of at least ``L`` characters occurs in a docu
 two share at least L + 1 - Q * (edits + 1) character q-grams, all on diagonals (document position less evaluation
 position) at most ``edits`` apart. Shared q-grams are counted in overlapping diagonal bands, each twice as wide as
 the distance needed; bands that reach the bound are kept with the region their q-grams span, and each region is
-verified by an alignment inside its band. Evaluation texts are few (``MOST_ITEMS`` at most, checked), so their q-gram
-index goes to every executor; the documents are read once and are never shuffled.
+verified by an alignment inside its band. Evaluation texts are worked on in blocks of at most ``BLOCK_CHARS``
+characters, whose q-gram index goes to every executor and is built once in each worker; the documents are read once
+for a block and are never shuffled. Documents are searched many at a time: one by one only their regions are looked at.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,12 @@ Q = 10
 EDITS = 1
 BAND = 8
 RUN_WORDS = 8
-MOST_ITEMS = 100_000
+#: Characters of evaluation texts that are broadcast at a time (and one text more at most).
+BLOCK_CHARS = 16 << 20
+#: Characters of documents that are searched at a time, which bounds a worker's memory (and one document more at most).
+PORTION = 1 << 20
+#: Added to diagonals to keep them positive.
+_ZERO = 1 << 36
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
@@ -57,6 +65,7 @@ class Index:
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
         order = np.argsort(code, kind="stable")
         self.code, self.text, self.place = code[order], text[order].astype(np.int64), place[order].astype(np.int64)
+        self.code_once, self.first, self.times = np.unique(self.code, return_index=True, return_counts=True)
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[(self.code >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         # shortest stretch of `run` words of each text, with the blanks around it; shorter texts cannot leak
@@ -73,6 +82,16 @@ class Index:
         return np.maximum(1, self.least + 1 - Q * (edits + 1))
 
 
+def straight(doc: str, item: str, diagonal: int, width: int) -> int:
+    """Longest run of equal characters on one diagonal of the band: an alignment without edits."""
+    a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (doc, item))
+    at = np.arange(len(a)) - np.arange(diagonal - width, diagonal + width + 1)[:, None]
+    differ = np.ones((len(at), len(a) + 1), bool)
+    differ[:, :-1] = (at < 0) | (at >= len(b)) | (a != b[np.clip(at, 0, len(b) - 1)])
+    off = np.flatnonzero(differ)
+    return int(max(off[0], (off[1:] - off[:-1]).max(initial=1) - 1))
+
+
 def align(doc: str, item: str, diagonal: int, width: int) -> tuple[int, int, int]:
     """Best local alignment with |document place - item place - diagonal| <= width: (matches, edits, document end)
     of the alignment that maximises matches less three times the edits."""
@@ -99,62 +118,131 @@ def align(doc: str, item: str, diagonal: int, width: int) -> tuple[int, int, int
     return best[1:]
 
 
-def regions(doc: str, index: Index, edits: int = EDITS) -> list[tuple[int, int, int, int]]:
-    """(text, start, end, diagonal) of the bands of a normalised document that reach the lemma's bound."""
-    g = qgrams(doc)
+def _dense(at: np.ndarray, index: Index, edits: int) -> np.ndarray:
+    """Which of the ascending places of q-grams that stand in any text lie in a window as dense as the lemma asks for.
+
+    A leaked stretch holds one of the shortest length that can leak, with at most ``edits`` edits; by the lemma that
+    one's q-grams, at most as many as fit in the window, have the bound's number in common with the text."""
+    least = int(index.least.min(initial=1 << 30))
+    need, width = max(1, least + 1 - Q * (edits + 1)), least + edits - Q + 1
+    if need < 2 or len(at) < need:
+        return np.full(len(at), need < 2)
+    # places k .. k + need - 1 within one window
+    first = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < width)
+    mark = np.zeros(len(at) + 1, np.int64)
+    np.add.at(mark, first, 1)
+    np.add.at(mark, first + need, -1)
+    return np.cumsum(mark[:-1]) > 0
+
+
+def regions(docs: list[str], index: Index, edits: int = EDITS) -> dict[int, list[tuple[int, int, int, int]]]:
+    """By number of the normalised document, (text, start, end, diagonal) of its bands that reach the lemma's bound."""
+    out: dict[int, list[tuple[int, int, int, int]]] = {}
+    g = qgrams("".join(docs))
     if not len(g) or not len(index.code):
-        return []
+        return out
+    end = np.cumsum([len(d) for d in docs])
     at = np.flatnonzero(index.maybe[(g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-    lo, hi = np.searchsorted(index.code, g[at], "left"), np.searchsorted(index.code, g[at], "right")
-    n = hi - lo
-    at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+    doc = np.searchsorted(end, at, "right")
+    inside = at + Q <= end[doc]
+    at, doc = at[inside], doc[inside]
+    known = np.searchsorted(index.code_once, g[at])
+    held = index.code_once[np.minimum(known, len(index.code_once) - 1)] == g[at]
+    at, doc, known = at[held], doc[held], known[held]
+    near = _dense(at, index, edits)
+    at, doc, known = at[near], doc[near], known[near]
     if not len(at):
-        return []
+        return out
+    lo, n = index.first[known], index.times[known]
     hits = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    where = np.repeat(at, n)
-    text, need = index.text[hits], index.bound(edits)
+    size, need = len(index.texts), index.bound(edits)
     # a text with too few shared q-grams in all has no band with enough
-    some = (np.bincount(text, minlength=len(need)) >= need)[text]
-    if not some.any():
-        return []
-    text, where, hits = text[some], where[some], hits[some]
-    diag = where - index.place[hits] + (1 << 20)
-    out = {}
+    pair = np.repeat(doc, n) * size + index.text[hits]
+    if len(docs) * size <= 1 << 24:
+        some = (np.bincount(pair, minlength=len(docs) * size) >= np.tile(need, len(docs)))[pair]
+    else:
+        each, inv, count = np.unique(pair, return_inverse=True, return_counts=True)
+        some = (count >= need[each % size])[inv]
+    pair, hits, where = pair[some], hits[some], np.repeat(at, n)[some]
+    if not len(pair):
+        return out
+    start = end[pair // size] - np.array([len(d) for d in docs])[pair // size]
+    where = where - start
+    diag = where - index.place[hits] + _ZERO
+    each, pair = np.unique(pair, return_inverse=True)
+    bands: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
     for shift in (0, BAND // 2):
-        key = (text << 40) | ((diag + shift) // BAND)
+        key = (pair << 38) | ((diag + shift) // BAND)
         order = np.argsort(key, kind="stable")
-        key_s, where_s, text_s = key[order], where[order], text[order]
-        first = np.flatnonzero(np.concatenate([[True], key_s[1:] != key_s[:-1]]))
-        size = np.diff(np.append(first, len(key_s)))
-        for f, m in zip(first[size >= need[text_s[first]]], size[size >= need[text_s[first]]]):
-            places = where_s[f : f + m]  # ascending, as the sort is stable and the hits come in document order
-            band = int(key_s[f] & ((1 << 40) - 1)) * BAND - shift + BAND // 2 - (1 << 20)
-            t = int(text_s[f])
+        key, places = key[order], where[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(first, len(key)))
+        least = need[each[key[first] >> 38] % size]
+        for f, m, most in zip(*(x[count >= least].tolist() for x in (first, count, least))):
+            mine = places[f : f + m]  # ascending, as the sort is stable and the hits come in document order
+            band = (int(key[f]) & ((1 << 38) - 1)) * BAND - shift + BAND // 2 - _ZERO
+            d, t = divmod(int(each[key[f] >> 38]), size)
             # one band may hold several stretches far apart
-            cuts = np.flatnonzero(np.diff(places) > 2 * Q + edits + 40)
-            for a, b in zip(np.concatenate([[0], cuts + 1]), np.concatenate([cuts + 1, [m]])):
-                if b - a >= need[t]:
-                    out.setdefault((t, band), []).append((int(places[a]), int(places[b - 1]) + Q))
-    return [(t, a, b, d) for (t, d), spans in out.items() for a, b in spans]
-
-
-def leaked(doc: str, index: Index, edits: int = EDITS, verify: bool = True) -> list[tuple[int, int, int, int, int]]:
-    """(text, start, end, longest shared run of words, edits) for each evaluation text with a region in the document."""
-    best: dict[int, tuple[int, int, int, int]] = {}
-    for t, a, b, d in regions(doc, index, edits):
-        a0, b0 = max(0, doc.rfind(" ", 0, a)), doc.find(" ", max(b - 1, 0))
-        b0 = len(doc) if b0 < 0 else b0 + 1
-        part = doc[a0:b0]
-        found, e = _longest(part.split(), index, t), 0
-        if verify and t in best and best[t][2] >= found:
-            continue
-        if verify:
-            m, e, _ = align(part, index.texts[t], d - a0, BAND)
-            if m < index.bound(edits)[t]:
-                continue  # the alignment in the band does not bear the region out
-        if t not in best or found > best[t][2]:
-            best[t] = (a0, b0, found, e)
-    return [(t, *x) for t, x in sorted(best.items())]
+            cuts = np.flatnonzero(mine[1:] - mine[:-1] > 2 * Q + edits + 40).tolist()
+            for a, b in zip([0, *(c + 1 for c in cuts)], [*(c + 1 for c in cuts), m]):
+                if b - a >= most:
+                    bands.setdefault((d, t, band), []).append((int(mine[a]), int(mine[b - 1]) + Q))
+    for (d, t, band), spans in bands.items():
+        out.setdefault(d, []).extend((t, a, b, band) for a, b in spans)
+    return out
+
+
+_held: dict[str, Index] = {}
+
+
+def _index(token: str, texts: list[str], run: int) -> Index:
+    """The index of a block, built once in a worker; only the last one is kept."""
+    if token not in _held:
+        _held.clear()
+        _held[token] = Index(texts, run)
+    return _held[token]
+
+
+def _blocks(items: DataFrame) -> Iterator[dict[str, set[tuple[int, str]]]]:
+    """Normalised evaluation texts with the (item, part) that have them, in blocks of bounded size."""
+    block: dict[str, set[tuple[int, str]]] = {}
+    size = 0
+    for r in items.select("item_id", "passage", "question").toLocalIterator():
+        for part in ("passage", "question"):
+            text = normalise(r[part])
+            if text.strip():
+                size += len(text) + 64
+                block.setdefault(text, set()).add((r["item_id"], part))
+        if size > BLOCK_CHARS:
+            yield block
+            block, size = {}, 0
+    if block:
+        yield block
+
+
+def leaked(docs: list[str], index: Index, edits: int = EDITS, verify: bool = True) -> dict[int, list[tuple[int, int, int, int, int]]]:
+    """By number of the document, (text, start, end, longest shared run of words, edits) for each evaluation text with a region in it."""
+    out, need = {}, index.bound(edits)
+    for k, found in regions(docs, index, edits).items():
+        best: dict[int, tuple[int, int, int, int]] = {}
+        doc = docs[k]
+        for t, a, b, d in found:
+            a0, b0 = max(0, doc.rfind(" ", 0, a)), doc.find(" ", max(b - 1, 0))
+            b0 = len(doc) if b0 < 0 else b0 + 1
+            part = doc[a0:b0]
+            run, e = _longest(part.split(), index, t), 0
+            if verify and t in best and best[t][2] >= run:
+                continue
+            # an alignment without edits that bears the region out needs no other one
+            if verify and straight(part, index.texts[t], d - a0, BAND) < need[t]:
+                m, e, _ = align(part, index.texts[t], d - a0, BAND)
+                if m < need[t]:
+                    continue  # the alignment in the band does not bear the region out
+            if t not in best or run > best[t][2]:
+                best[t] = (a0, b0, run, e)
+        if best:
+            out[k] = [(t, *x) for t, x in sorted(best.items())]
+    return out
 
 
 def _longest(ws: list[str], index: Index, t: int) -> int:
@@ -178,30 +266,33 @@ def find(documents: DataFrame, items: DataFrame, edits: int = EDITS, run: int =
 
     documents: doc_id, text; items: item_id, passage, question (other columns are ignored). Nulls and texts of fewer than
     ``run`` words cannot leak; items with the same text are each reported; repeated documents give repeated rows; long
-    texts are read whole. Raises if there are more than ``MOST_ITEMS`` items, as their index is broadcast."""
-    spark = documents.sparkSession
-    rows = items.select("item_id", "passage", "question").limit(MOST_ITEMS + 1).collect()
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} evaluation items")
-    owners: dict[str, set[tuple[int, str]]] = {}
-    for r in rows:
-        for part in ("passage", "question"):
-            text = normalise(r[part])
-            if text.strip():
-                owners.setdefault(text, set()).add((r["item_id"], part))
+    texts are read whole. Evaluation texts of any number are taken, in blocks; each block is one more reading of the documents."""
+    parts = [_find(documents, block, edits, run) for block in _blocks(items)]
+    return reduce(DataFrame.unionByName, parts) if parts else _find(documents, {}, edits, run)
+
+
+def _find(documents: DataFrame, owners: dict[str, set[tuple[int, str]]], edits: int, run: int) -> DataFrame:
     texts = sorted(owners)
-    held = spark.sparkContext.broadcast((texts, [sorted(owners[t]) for t in texts]))
+    held = documents.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, texts, [sorted(owners[t]) for t in texts]))
     names = ["doc_id", "item_id", "part", "run_words", "edits", "start", "end"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, owner = held.value
-        index = Index(texts, run)
+        token, texts, owner = held.value
+        index = _index(token, texts, run)
         for batch in batches:
             out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    for t, a, b, words, e in leaked(normalise(text), index, edits):
-                        out += [(key, item, part, words, e, a, b) for item, part in owner[t]]
+            key, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            at = 0
+            while at < len(key):
+                docs, first = [], at
+                size = 0
+                while at < len(key) and size < PORTION:
+                    docs.append(normalise(text[at]))
+                    size += len(docs[-1])
+                    at += 1
+                for k, found in leaked(docs, index, edits).items():
+                    for t, a, b, words, e in found:
+                        out += [(key[first + k], item, part, words, e, a, b) for item, part in owner[t]]
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names)
