@@ -6,7 +6,11 @@ ampersands go, abbreviations of business words and legal forms become full words
 A spelling slip is the loss of one character: two forms that differ by one added, lost, changed or swapped
 character share a form with one character less. Forms are exploded and equi-joined; a form's score is its rules'
 weight divided by the number of different parties it may come from (its rarity), so a form that several parties
-share names none of them.
+share names none of them. Among registry rows a slip counts only where it is no matter of choice: all spellings within
+one slip of each other have one in their middle, or a spelling is written by more rows than all those near it.
+
+A person's name may have any number of parts and be of any script; particles belong to the surname, further given
+names go. An organisation's distinct words may be several.
 
 Scores: exact rewriting 1, nickname 1, initial 0.9, slip 0.8; accepted from ``ACCEPT`` on.
 """
@@ -25,7 +29,8 @@ from memspark.operators.graph import components
 from memspark.session import cut
 
 ACCEPT = 0.5
-MOST_CHARS = 200
+#: A name is no text: more words than these are none. Longer words take slips by their halves.
+PERSON_WORDS, ORGANISATION_WORDS, LONG_WORD = 8, 12, 64
 WEIGHTS = {"full": 1.0, "initial": 0.9, "slip": 0.8}
 
 #: Given names and their usual short forms (public English name lore).
@@ -46,6 +51,10 @@ NICKNAMES = {
     "vincent": "vince vin vinny", "walter": "walt wally wat", "william": "bill will billy liam willie", "zachary": "zach zack zac zak",
 }
 TITLES = set("mr mrs ms miss mx dr prof professor sir dame rev herr frau".split())
+SUFFIXES = set("jr sr junior senior ii iii phd md esq".split())
+#: Small words that begin a surname.
+PARTICLES = set("van von der den de del della di da do dos das du la le el al bin ibn ben ter ten zu zur st san santa mac".split())
+_PART = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
 #: Business words and their abbreviations.
 BUSINESS = {
     "international": "int'l intl internat", "national": "natl nat'l nat", "north": "n", "south": "s", "east": "e", "west": "w", "brothers": "bros bro", "engineering": "eng engrg engr",
@@ -77,7 +86,11 @@ def fold(text: str) -> str:
 
 
 def slips(word: str) -> set[str]:
-    """The word and all forms with one character less."""
+    """The word and all forms with one character less. A long word's forms are its beginnings and ends of about half its
+    length, one of which a slip leaves as it is."""
+    if len(word) > LONG_WORD:
+        half = {(len(word) + k) // 2 - 1 for k in (-1, 0, 1)}
+        return {word} | {f"{h}<{word[:h]}" for h in half} | {f"{h}>{word[-h:]}" for h in half}
     return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
@@ -101,7 +114,7 @@ def _business(token: str) -> str | None:
         return _BIZ[token]
     if token in _LEGAL:
         return ""
-    if len(token) >= 5 or token in ("fods", "fodo"):
+    if len(token) >= 4:
         for w in _LONG:
             if near(token, w):
                 return "" if w in _LEGAL else w
@@ -111,67 +124,105 @@ def _business(token: str) -> str | None:
 def organisation(name: str) -> tuple[str, str] | None:
     """(distinct words, business words), both sorted; None if the name has no business word or no distinct word."""
     tokens = [t.strip(".,;:'") for t in fold(name).replace("&", " ").replace(",", " ").split()]
-    own, biz, legal = [], [], False
-    for k, t in enumerate(t for t in tokens if t and t not in ARTICLES):
+    tokens = [t for t in tokens if t and t not in ARTICLES]
+    if len(tokens) > ORGANISATION_WORDS:
+        return None
+    own, biz, legal, exact = [], [], False, False
+    for t in tokens:
         b = _business(t)
         if b is None:
             own.append(t.replace("-", "").replace("'", ""))
-        elif b:
+            continue
+        exact |= t in _BIZ or t in _LEGAL
+        if b:
             biz.append(b)
         else:
             legal = True
-    if len(own) != 1 or len(own[0]) < 4 or not (legal or set(biz) - WHERE):
+    if len("".join(own)) < 2 or not (legal or set(biz) - WHERE):
         return None
-    return own[0], " ".join(sorted(biz))
+    # a given name beside a word that only resembles a business word is a person
+    if not exact and len(own) == 1 and own[0] in _SHORT:
+        return None
+    return " ".join(sorted(own)), " ".join(sorted(biz))
+
+
+def _given(token: str) -> list[str]:
+    """The given names a token may stand for: a known one, a slip in a known one, or itself."""
+    if token in _SHORT:
+        return _SHORT[token]
+    known = sorted({g for s in _SHORT if len(s) >= 4 and near(token, s) for g in _SHORT[s]}) if len(token) >= 4 else []
+    return known or [token.replace("-", "")]
+
+
+def _many(sides: list[list[str]], comma: bool) -> list[tuple[str, str, str]]:
+    """Readings of a name of three parts or more, as its parts before and after the comma: further given names go."""
+    if comma:
+        sur, given = sides
+    else:
+        parts = sides[0]
+        k = next((i for i, t in enumerate(parts) if i and t in PARTICLES), len(parts) - 1)
+        # a given name at the second place after an unknown word: the surname comes first
+        if k == len(parts) - 1 and parts[0] not in _SHORT and parts[1] in _SHORT and parts[-1] in _SHORT:
+            sur, given = parts[:1], parts[1:]
+        else:
+            sur, given = parts[k:], parts[:k]
+    surname = "".join(sur).replace("-", "").replace("'", "")
+    if not given or len(surname) < 2:
+        return []
+    if len(given[0]) == 1:
+        return [("initial", given[0], surname)]
+    return [("full", g, surname) for g in _given(given[0])]
 
 
 def person(name: str) -> list[tuple[str, str, str]]:
     """(kind, given, surname) readings of a name of a person: kind ``full`` or ``initial`` (given is a letter), or
     ``bare`` with an empty surname for a given name alone."""
-    text = fold(name)
-    comma = "," in text
-    raw = [t for t in re.split(r"[\s,]+", unicodedata.normalize("NFC", name).strip()) if t]
-    tokens = [(fold(t).strip(".'\""), t) for t in raw]
-    tokens = [(t, r) for t, r in tokens if t and t not in TITLES]
-    if any(not re.fullmatch(r"[a-z'\-]+", t) for t, _ in tokens):
+    sides = []
+    for side in unicodedata.normalize("NFC", name).strip().strip(",").split(","):
+        pairs = [(fold(t).strip(".'\""), t) for t in side.split()]
+        sides.append([(t, r) for t, r in pairs if t and t not in TITLES])
+    sides = [x for x in sides if any(t not in SUFFIXES for t, _ in x)]
+    tokens = [x for side in sides for x in side]
+    if len([1 for t, _ in tokens if t not in SUFFIXES]) > 1:
+        tokens = [(t, r) for t, r in tokens if t not in SUFFIXES]
+    if len(tokens) > PERSON_WORDS or len(sides) > 2 or any(not _PART.fullmatch(t) or t in ARTICLES for t, _ in tokens):
         return []
+    comma = len(sides) == 2
     full = [t for t, _ in tokens if len(t) > 1]
     letters = [t for t, _ in tokens if len(t) == 1]
     if len(full) == 1 and not letters:
         return [("bare", g, "") for g in _SHORT.get(full[0], [])]
     if len(full) == 1 and letters:
-        return [("initial", letters[0], full[0].replace("-", "").replace("'", ""))] if len(full[0]) >= 4 else []
+        return [("initial", letters[0], full[0].replace("-", "").replace("'", ""))]
+    if len(full) > 2:
+        return _many([[t for t, _ in side if t not in SUFFIXES] for side in sides], comma)
     if len(full) != 2:
         return []
     # two initials written together, as in JR Smith
     if not letters:
+        written = [r for t, r in tokens if len(t) > 1]
         for k in (0, 1):
-            r = [r for t, r in tokens if len(t) > 1][k]
-            if re.fullmatch(r"[A-Z]{2}", r) and full[k] not in _SHORT and len(full[1 - k]) >= 4:
+            if re.fullmatch(r"[A-Z]{2}", written[k]) and full[k] not in _SHORT and not written[1 - k].isupper():
                 return [("initial", full[k][0], full[1 - k].replace("-", "").replace("'", ""))]
     out = []
     for k in (0, 1):
         given, sur = full[k], full[1 - k].replace("-", "").replace("'", "")
-        if len(sur) < 4:
-            continue
         if given in _SHORT and not (full[1 - k] in _SHORT and (k == 1) != comma):
             out += [("full", g, sur) for g in _SHORT[given]]
     if not out:  # no known given name: the order written decides, and a slip in a given name is undone
         k = 1 if comma else 0
         for kk in (k, 1 - k):
             given, sur = full[kk], full[1 - kk].replace("-", "").replace("'", "")
-            known = sorted({g for s in _SHORT if len(s) >= 4 and near(given, s) for g in _SHORT[s]}) if len(given) >= 4 else []
-            if known and len(sur) >= 4:
+            known = _given(given)
+            if known != [given.replace("-", "")]:
                 return [("full", g, sur) for g in known]
-        given, sur = full[k].replace("-", ""), full[1 - k].replace("-", "").replace("'", "")
-        if len(sur) >= 4:
-            out.append(("full", given, sur))
+        out.append(("full", full[k].replace("-", ""), full[1 - k].replace("-", "").replace("'", "")))
     return out
 
 
 def _forms(name: str | None) -> list[tuple[str, str]]:
     """(kind, form): ``full`` readings, or one ``only`` reading with an initial, or ``bare`` given names."""
-    if not name or not name.strip() or len(name) > MOST_CHARS:
+    if not name or not name.strip():
         return []
     org = organisation(name)
     if org:
@@ -256,6 +307,26 @@ def _initial(form: Column) -> Column:
     return F.when(form.startswith("p|") & ~form.endswith("."), F.concat(F.regexp_extract(form, r"^(.*\|)", 1), F.substring(F.regexp_extract(form, r"([^|]*)$", 1), 1, 1), F.lit(".")))
 
 
+def _plain_slips(near_by: DataFrame, sure: DataFrame) -> DataFrame:
+    """The pairs (form, other) of forms within one slip, given both ways, that are no matter of choice.
+
+    A form is a middle if all that is near its neighbours is near itself; its pairs hold. Elsewhere a form goes to the
+    one neighbour that more rows write than write the form itself or any other neighbour, if that neighbour
+    has none written by as many. So names that differ by a slip each are not chained."""
+    degree = near_by.groupBy("form").agg(F.count("*").alias("degree"))
+    two = near_by.select("form", F.col("other").alias("via")).join(near_by.select(F.col("form").alias("via"), F.col("other").alias("far")), "via")
+    reach = two.filter("far <> form").select("form", F.col("far").alias("at")).unionByName(near_by.select("form", F.col("other").alias("at"))).distinct().groupBy("form").agg(F.count("*").alias("reach"))
+    middle = degree.join(reach, "form").filter("degree = reach").select("form")
+    rows = sure.groupBy("form").agg(F.count_distinct("id").alias("n"))
+    known = near_by.join(rows, "form").join(rows.select(F.col("form").alias("other"), F.col("n").alias("m")), "other")
+    most = known.groupBy("form").agg(F.max("m").alias("m"), F.first("n").alias("n"))
+    peak = most.filter("n > m").select(F.col("form").alias("other"))
+    best = known.join(most.filter("m > n").select("form", "m"), ["form", "m"])
+    only = best.groupBy("form").agg(F.count("*").alias("k"), F.min("other").alias("other")).filter("k = 1").select("form", "other")
+    strong = only.join(peak, "other", "left_semi").select("form", "other")
+    return near_by.join(middle, "form", "left_semi").unionByName(strong).distinct()
+
+
 def parties(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, party) of every registry row of a person or organisation, and the parties' (party, form).
 
@@ -267,7 +338,8 @@ def parties(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     forms = cut(_rows(rows, "id string, kind string, form string", ["id", "names", "kind"], lambda i, n, k: [(i, *f) for f in entity_forms(n, k)]))
     sure = forms.filter("kind = 'sure'")
     slip = _slip_rows(sure)
-    close = slip.join(slip.select("slip", F.col("form").alias("other")), "slip").filter("form < other").filter(_near(F.col("form"), F.col("other"))).select("form", "other").distinct()
+    near_by = slip.join(slip.select("slip", F.col("form").alias("other")), "slip").filter("form <> other").filter(_near(F.col("form"), F.col("other"))).select("form", "other").distinct()
+    close = _plain_slips(cut(near_by), sure)
     node = lambda c: F.concat(F.lit("~"), c)  # noqa: E731  ids sort before forms
     edges = sure.select(F.col("id").alias("a"), node("form").alias("b")).unionByName(close.select(node("form").alias("a"), node("other").alias("b")))
     root = components(edges)
@@ -329,7 +401,7 @@ def links(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     mention_id) of the mentions that name it by a form that none of its rows has letter for letter.
 
     Null or blank names, empty tables, unknown kinds and repeated rows are allowed; names of more than
-    ``MOST_CHARS`` characters are taken for text and have no form. The pairs of a party are its result, by its
+    ``PERSON_WORDS`` words (``ORGANISATION_WORDS`` of an organisation) are texts and have no form. The pairs of a party are its result, by its
     definition; a party's rows are joined to each other by the party's id."""
     table, forms = parties(entities)
     a, b = table.select("party", F.col("id").alias("left_id")), table.select("party", F.col("id").alias("right_id"))

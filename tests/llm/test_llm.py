@@ -34,6 +34,38 @@ def test_names_nobody(form):
     assert all(k == "bare" or not f.startswith("o|") for k, f in N._forms(form)) and not [1 for k, _ in N._forms(form) if k == "only"]
 
 
+@pytest.mark.parametrize(
+    "form, want",
+    [
+        ("Kim Lee", "p|lee|kim"), ("Lee, Kim", "p|lee|kim"), ("Wei Ng", "p|ng|wei"), ("Ana Maria Gonzalez Ruiz", "p|ruiz|ana"), ("Martin Luther King Jr.", "p|king|martin"), ("Ludwig van Beethoven", "p|vanbeethoven|ludwig"),
+        ("van Beethoven, Ludwig", "p|vanbeethoven|ludwig"), ("Иван Петров", "p|петров|иван"), ("Blue Harbor Foods Ltd", "o|blue harbor|foods"), ("Foods, Harbor Blue", "o|blue harbor|foods"), ("Deutsche Bank AG", "o|bank deutsche|"), ("Henry Fords", "p|fords|henry"),
+    ],
+)
+def test_names_of_every_form(form, want):
+    assert [f for _, f in N._forms(form)] == [want]
+
+
+def registry(spark, *names):
+    return spark.createDataFrame([(n, n, [], "person", 0) for n in names], ENT)
+
+
+def test_slips_are_not_chained(spark):
+    chain = ["Robert Hartman", "Robert Hartmann", "Robert Harman", "Robert Herman"]
+    assert not N.links(registry(spark, *chain), spark.createDataFrame([], MEN)).count()
+    star = ["Kim Hartman", "Kim Hartmann", "Kim Harman", "Lee, Kim", "Kim Lee", "Kim Leo"]
+    got = {tuple(r) for r in N.links(registry(spark, *star), spark.createDataFrame([("m", "Kim Hartmam", 0)], MEN)).collect()}
+    assert {("Kim Hartman", "Kim Hartmann"), ("Kim Harman", "Kim Hartmann"), ("Kim Lee", "Lee, Kim")} <= got and ("Kim Harman", "m") in got
+
+
+def test_slip_in_a_very_long_name(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice(string.ascii_lowercase) for _ in range(3000))
+    for other in (long[:70] + long[71:], long[:2990] + "q" + long[2990:], long[:1500] + long[1501] + long[1500] + long[1502:], long):
+        assert N.slips(long) & N.slips(other) and N.near(long, other)
+    got = N.links(registry(spark, f"Anna {long}", f"Anna {long[:70] + long[71:]}", f"Anna {long[::-1]}"), spark.createDataFrame([], MEN))
+    assert got.count() == 1
+
+
 ENT = "id string, name string, aliases array<string>, entity_type string, extra int"
 MEN = "mention_id string, surface_form string, id int"
 
