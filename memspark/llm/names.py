@@ -140,6 +140,9 @@ def organisation(name: str) -> tuple[str, str] | None:
             legal = True
     if len("".join(own)) < 2 or not (legal or set(biz) - WHERE):
         return None
+    # two letters before one word are initials; a legal form follows the name
+    if len(tokens) == 2 and not biz and len(tokens[0]) == 2 and tokens[0] in _LEGAL:
+        return None
     # a given name beside a word that only resembles a business word is a person
     if not exact and len(own) == 1 and own[0] in _SHORT:
         return None
