@@ -300,6 +300,34 @@ def test_mixing(spark):
     assert {r.doc_id for r in rows} == {d for d, src, t, _ in docs if src and t and src != "zzqqxxyy"}
 
 
+def test_fit_of_overlapping_domains(spark):
+    """Three classes of which one belongs to both domains: rates follow from least squares, not from division."""
+    classes = spark.createDataFrame([(1, [1.0, 0.0], 1.0, 1000.0), (2, [0.0, 1.0], 9.0, 100.0), (3, [0.25, 0.75], 2.0, 800.0)], "class bigint, posterior array<double>, cap double, n_tokens double")
+    rated, reached = M.fit(classes, [("a", 0.5, 9), ("b", 0.5, 9)], 2000.0)
+    assert np.allclose(reached, [1000, 1000], rtol=1e-3)
+    rate = {r["class"]: r["rate"] for r in rated.collect()}
+    assert abs(1000 * rate[1] + 200 * rate[3] - 1000) < 2 and abs(100 * rate[2] + 600 * rate[3] - 1000) < 2 and rate[3] > 0.2
+    # of what cannot be reached the nearest is taken: more of b brings more of a with it
+    rated, reached = M.fit(classes.filter("class = 3"), [("a", 0.0, 9), ("b", 1.0, 9)], 1600.0)
+    best = min((r / 1000 for r in range(2001)), key=lambda r: (200 * r) ** 2 / 200 + (1600 - 600 * r) ** 2 / 600)
+    assert abs(rated.first()["rate"] - best) < 0.01
+
+
+def test_soft_mixing(spark):
+    """Documents between two domains belong to both, whatever their label."""
+    rng = random.Random(2)
+    a, b = vocabulary(rng, 60), vocabulary(rng, 60)
+    text = lambda *v: " ".join(rng.choice(rng.choice(v)) for _ in range(40))
+    docs = [(i, "a", text(a), 0) for i in range(150)] + [(1000 + i, "b", text(b), 0) for i in range(150)] + [(2000 + i, "ab"[i % 2], text(a, b), 0) for i in range(150)] + [(3000, None, text(a), 0), (3001, None, None, 0)]
+    df, weights = spark.createDataFrame(docs, DOCS), spark.createDataFrame([("a", 0.5, 4, 0), ("b", 0.5, 4, 0)], WEIGHTS)
+    mixture, shares = M.mix(df, weights, total_tokens=40_000, membership="text")
+    s = {r.source: r for r in shares.collect()}
+    assert all(abs(r.actual_share - 0.5) < 0.02 and abs(r.mixed_tokens - 20_000) < 800 for r in s.values())
+    post = {r.doc_id: r.posterior for r in M.members(df, [("a", 0.5, 4), ("b", 0.5, 4)], f"{M.TOKENIZER_DIR}/{M.TOKENIZER_FILE}", "text").collect()}
+    assert sum(max(post[2000 + i]) < 0.95 for i in range(150)) > 75 and sum(max(post[i]) > 0.9 for i in range(150)) > 120
+    assert 3000 in {r.doc_id for r in mixture.collect()}
+
+
 def test_mixing_empty(spark):
     mixture, shares = M.mix(spark.createDataFrame([], DOCS), spark.createDataFrame([("a", 1.0, 1, 0)], WEIGHTS))
     assert mixture.count() == 0 and shares.first().actual_share is None
