@@ -166,8 +166,8 @@ def bare(sentence: str) -> str:
     return out
 
 
-def piece_scores(pieces: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cosines of the pieces' profiles with the prototypes, a row each, and their numbers of n-grams.
+def piece_sums(pieces: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the table's rows over each piece's n-grams, their numbers, and the n-grams with their pieces.
 
     All pieces are worked on at once: a mark between two of them counts as the blank at their ends, and n-grams
     across it are left out."""
@@ -182,7 +182,7 @@ def piece_scores(pieces: list[str], table: np.ndarray) -> tuple[np.ndarray, np.n
     keep[1:] = (at[1:] != 0) | (at[:-1] != 0)
     at, own = at[keep], own[keep]
     if len(at) < 3:
-        return np.zeros((n, table.shape[1])), np.zeros(n, np.int64)
+        return np.zeros((n, table.shape[1])), np.zeros(n, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     inside = (at[1:-1] != 0) | (own[:-2] == own[2:])
     inside &= (at[:-2] != 0) | (at[1:-1] != 0)
     g = ((at[:-2] * _N + at[1:-1]) * _N + at[2:])[inside]
@@ -190,10 +190,16 @@ def piece_scores(pieces: list[str], table: np.ndarray) -> tuple[np.ndarray, np.n
     count = np.bincount(piece, minlength=n)
     some = np.flatnonzero(count)
     sums = np.zeros((n, table.shape[1]))
-    length = np.ones(n)
     if len(some):
-        first = (np.cumsum(count) - count)[some]
-        sums[some] = np.add.reduceat(table[g], first, axis=0)
+        sums[some] = np.add.reduceat(table[g], (np.cumsum(count) - count)[some], axis=0)
+    return sums, count, g, piece
+
+
+def piece_scores(pieces: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of the pieces' profiles with the prototypes, a row each, and their numbers of n-grams."""
+    sums, count, g, piece = piece_sums(pieces, table)
+    n, length = len(pieces), np.ones(len(pieces))
+    if len(g):
         key = np.sort(piece * _N**3 + g)
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         times = np.diff(np.append(new, len(key)))

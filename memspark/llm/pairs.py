@@ -2,7 +2,9 @@
 
 Replies of a bounded sample of turns are broken on purpose (cut short, replaced by the message, by a refusal, or by
 a reply to a message in another language) and a logistic model per defect is trained on hashed n-grams of the reply
-and features of the pair. Thresholds are set on held-out pairs. A reply that says nothing is found exactly.
+and features of the pair. Thresholds are set on held-out pairs. Refusals are made by a grammar of each language.
+How often words stand, and end a sentence, is counted over all turns. A reply that says nothing is found exactly, and
+what the classifier leaves open is judged by what is opened and not closed and by the words the message lacks.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from memspark.llm import languages as L
 from memspark.llm.samples import bounded
+from memspark.session import cut
 
 DEFECTS = ("truncated", "refusal", "copy", "other_language")
 #: Turns the classifier is trained from, and documents its language profiles are.
@@ -27,6 +30,7 @@ HASH_BITS = 18
 SEED = 7
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+_DIGITS = re.compile(r"\d+")
 #: Stand-ins for no value.
 STAND_INS = {"none", "null", "nil", "nan", "na", "n a", "undefined", "no response", "no reply", "no output", "empty", "blank", "no content", "missing", "tbd", "void"}
 
@@ -40,22 +44,55 @@ def says_nothing(reply: str | None) -> bool:
     return not words or (len(words) <= 3 and " ".join(words) in STAND_INS)
 
 
-#: Ways to decline, and what may stand before and after.
+#: Ways to decline, as sentences with alternatives between bars.
 REFUSALS = {
-    "en": (
-        "I can't help with that|I cannot help you with this request|I am not able to assist with this request|I'm unable to answer that|I won't be able to answer this one|I must decline to go further here|I have to decline|That is something I have to decline"
-        "|I'd rather not get into that topic|I would rather not talk about this|I don't feel comfortable writing that for you|I'm not comfortable answering this|As an assistant I cannot share a view on this|As an AI I can't give an opinion on that"
-        "|My guidelines do not permit me to respond to this|My guidelines don't allow me to answer|This goes beyond what I am allowed to do|I am not allowed to discuss this|It would not be appropriate for me to continue|I can't provide that|I cannot comply with this request"
-        "|I'm not permitted to share this information|I refuse to answer that|I can't discuss that|I am afraid I cannot do that"
-    ).split("|"),
-    "de": "Dabei kann ich nicht helfen|Diese Anfrage muss ich leider ablehnen|Dazu darf ich mich nicht äußern|Das darf ich nicht beantworten|Ich kann dir dabei leider nicht helfen|Es tut mir leid, aber dabei kann ich nicht helfen".split("|"),
-    "fr": "Je suis désolé, mais je ne peux pas vous aider pour cela|Je ne peux pas répondre à cette demande|Je dois malheureusement refuser cette demande|Il ne m'est pas permis de répondre à ce sujet|Je ne suis pas autorisé à en parler".split("|"),
-    "es": "Lo siento, pero no puedo ayudarte con eso|Tengo que rechazar esta petición|No me está permitido responder sobre este tema|No puedo responder a esta solicitud|No estoy autorizado a hablar de esto".split("|"),
-    "pt": "Lamento, mas não posso ajudar com isso|Tenho de recusar este pedido|Não me é permitido responder sobre este assunto|Não posso responder a este pedido|Peço desculpa, mas não o posso fazer".split("|"),
-    "it": "Mi dispiace, ma non posso aiutarti con questo|Devo purtroppo rifiutare questa richiesta|Non mi è permesso rispondere su questo argomento|Non posso rispondere a questa domanda|Non sono autorizzato a parlarne".split("|"),
-    "nl": "Het spijt me, maar daar kan ik niet bij helpen|Dit verzoek moet ik helaas weigeren|Daar mag ik geen uitspraak over doen|Daarover mag ik niets zeggen|Daar mag ik niet op antwoorden|Ik kan je hier niet mee helpen".split("|"),
-    "sv": "Tyvärr kan jag inte hjälpa till med det|Den här begäran måste jag avböja|Jag får inte uttala mig om det ämnet|Jag kan inte svara på den frågan|Det får jag inte svara på".split("|"),
+    "en": [
+        "{I can't|I cannot|I'm unable to|I am not able to|I won't be able to|I am unable to|I'm afraid I cannot|I'm afraid I can't|As an assistant I cannot|As an AI I can't|It is not possible for me to|I'm not in a position to} {help|assist} {you |}with {that|this|this request|that request|it|this one|such a thing}",
+        "{I can't|I cannot|I'm unable to|I am not able to|I won't be able to|I'm not allowed to|I am not permitted to|I refuse to|I'd rather not|I would rather not|I would prefer not to|I will not|I must decline to|I have to decline to|My guidelines do not permit me to|My guidelines don't allow me to|My rules do not let me|It would not be appropriate for me to|It would not be right for me to|As an assistant I cannot|As an AI I can't} {answer|answer that|answer this one|respond to this|respond to that question|discuss this|discuss that|talk about this|talk about that topic|get into that topic|go into this|go further here|go on with this|give an opinion on that|share a view on this|comment on that|provide that|share this information|give advice on this|comply with this request|continue|do that|say anything about this|write that for you|take part in this}",
+        "{I don't feel comfortable|I am not comfortable|I'm not comfortable} {answering|discussing|writing|sharing|doing|saying} {this|that|that for you|this with you}",
+        "{This|That|Your request|This question|This topic} {goes beyond|is outside|lies beyond|is not within} {what I am allowed to do|what I may discuss|what I can help with|the things I may talk about|my limits}",
+        "{That|This} is something I {have to|must|need to} {decline|refuse|turn down}",
+        "I {have to|must|need to|will have to} {decline|refuse|turn down} {this|that|your} {request|question|wish}",
+        "I {must|have to|will have to} {decline|refuse}",
+    ],
+    "de": [
+        "{Ich kann|Leider kann ich|Es tut mir leid, aber ich kann} {dir|Ihnen|} {dabei|damit|hierbei|bei dieser Anfrage} {leider |}nicht {helfen|weiterhelfen|behilflich sein}", "{Dabei|Damit|Bei dieser Frage|Hierbei} kann ich {dir |Ihnen |}{leider |}nicht {helfen|weiterhelfen}",
+        "{Ich darf|Ich kann|Ich möchte} {mich |}{dazu|darüber|zu diesem Thema} {leider |}{nichts sagen|nicht äußern|nicht sprechen|keine Auskunft geben}", "{Dazu|Darüber|Zu diesem Thema} {darf|kann|möchte} ich {mich nicht äußern|nichts sagen|keine Auskunft geben}",
+        "{Das|Diese Frage|Diese Anfrage} {darf|kann|möchte} ich {leider |}nicht {beantworten|bearbeiten}", "{Diese Anfrage|Diese Bitte|Das} muss ich {leider |}{ablehnen|zurückweisen}", "Ich muss {diese Anfrage|diese Bitte|das} {leider |}{ablehnen|zurückweisen}",
+    ],
+    "fr": [
+        "{Je suis désolé, mais je|Désolé, je|Je} ne {peux|saurais} pas {vous aider|t'aider} {pour cela|avec cela|sur ce point|à ce sujet}", "Je ne {peux|dois|veux} pas {répondre à cette demande|répondre à cette question|vous répondre|en parler|traiter ce sujet}",
+        "Je {dois|suis obligé de} {malheureusement |}{refuser|décliner} {cette demande|votre demande|de répondre}", "Il ne m'est pas {permis|possible} de {répondre à ce sujet|répondre|parler de cela|vous aider}", "Je ne suis pas {autorisé à|en mesure de} {en parler|répondre|vous aider|donner cette information}",
+    ],
+    "es": [
+        "{Lo siento, pero no|No|Por desgracia no} puedo {ayudarte|ayudarle} con {eso|esto|esta petición}", "No puedo {responder a esta solicitud|responder a eso|contestar a esa pregunta|hablar de esto|opinar sobre ese tema}",
+        "{Tengo que|Debo} {rechazar|declinar} {esta petición|esta solicitud|tu petición}", "No {me está permitido|estoy autorizado a|se me permite} {responder sobre este tema|hablar de esto|responder|dar esa información}",
+    ],
+    "pt": [
+        "{Lamento, mas não|Não|Infelizmente não} posso {ajudar|ajudá-lo} {com isso|nisso|com este pedido}", "Não posso {responder a este pedido|responder a isso|falar sobre este assunto|dar opinião sobre isso}",
+        "{Tenho de|Devo} recusar {este pedido|o seu pedido|esta questão}", "Não {me é permitido|estou autorizado a|tenho permissão para} {responder sobre este assunto|falar disso|responder|dar essa informação}", "Peço desculpa, mas não {o posso fazer|posso responder|posso ajudar}",
+    ],
+    "it": [
+        "{Mi dispiace, ma non|Non|Purtroppo non} posso {aiutarti|aiutarla} {con questo|in questo|con questa richiesta}", "Non posso {rispondere a questa domanda|rispondere a questa richiesta|parlare di questo|esprimermi su questo tema}",
+        "{Devo|Sono costretto a} {purtroppo |}rifiutare {questa richiesta|la tua richiesta|di rispondere}", "Non {mi è permesso|sono autorizzato a|mi è consentito} {rispondere su questo argomento|parlarne|rispondere|dare queste informazioni}",
+    ],
+    "nl": [
+        "{Het spijt me, maar daar kan ik|Daar kan ik|Helaas kan ik daar} {je |u |}niet {bij|mee} helpen", "Ik kan {je |u |}{hier|daar} {helaas |}niet {mee|bij} helpen", "{Dit verzoek|Deze vraag|Dat} moet ik {helaas |}{weigeren|afwijzen}",
+        "{Daar|Hier|Daarover|Hierover} {mag|kan|wil} ik {geen uitspraak over doen|niets over zeggen|niets zeggen|niet op antwoorden}", "Ik {mag|kan} {deze vraag|dit} {helaas |}niet beantwoorden",
+    ],
+    "sv": [
+        "{Tyvärr kan jag inte|Jag kan tyvärr inte|Jag kan inte} {hjälpa till med det|hjälpa dig med det här|svara på den frågan|svara på det}", "{Den här begäran|Den frågan|Det} måste jag {tyvärr |}{avböja|avslå|neka}",
+        "Jag {får|kan|vill} inte {uttala mig om det ämnet|uttala mig om det|svara på det|prata om det här}", "{Det|Den frågan} {får|kan} jag {tyvärr |}inte {svara på|prata om|hjälpa till med}",
+    ],
 }
+
+
+def one_of(sentence: str, rng: np.random.Generator) -> str:
+    """A sentence with one of each group of alternatives."""
+    out = re.sub(r"\{([^{}]*)\}", lambda m: (lambda xs: xs[int(rng.integers(0, len(xs)))])(m[1].split("|")), sentence)
+    return re.sub(" +", " ", out).strip()
+
+
 BEFORE = ["", "", "Sorry, ", "I'm sorry, but ", "Unfortunately, ", "Apologies, ", "To be honest, ", "Thanks for asking, but ", "I understand why you ask, however "]
 AFTER = ["", "", ".", " at this time.", ", and I hope you understand.", ". Please ask a qualified person instead.", ". Is there anything else you would like to talk about?", ". Let's talk about something different."]
 #: Sound sentences that look like refusals.
@@ -82,11 +119,25 @@ class Featuriser:
     """Features of (message, reply): hashed n-grams as indices, and pair features as numbers."""
 
     def __init__(self, table: np.ndarray, langs: tuple[str, ...], known: dict[str, tuple[int, int, int]]):
-        """known: how often a word or two words stand in the sample, and how often at a sentence's end, with and without a stop."""
+        """known: how often a word or two words stand in the turns, and how often at a sentence's end, with and without a stop."""
         self.table, self.langs, self.known = table, langs, known
 
-    def pair(self, message: str, reply: str) -> list[float]:
-        m, r = [w.lower() for w in _WORD.findall(message)], [w.lower() for w in _WORD.findall(reply)]
+    def pairs(self, both: list[tuple[str, str]]) -> np.ndarray:
+        """A row of features for each (message, reply); the languages of all texts are judged together."""
+        rows: list[list[float]] = []
+        at = 0
+        while at < len(both):
+            end, size = at, 0
+            while end < len(both) and size < L.LETTERS:
+                size += len(both[end][0]) + len(both[end][1])
+                end += 1
+            spoken = self.speaks([t for pair in both[at:end] for t in pair])
+            rows += [self.pair(m, r, spoken[2 * i], spoken[2 * i + 1]) for i, (m, r) in enumerate(both[at:end])]
+            at = end
+        return np.array(rows, np.float32).reshape(-1, N_PAIR)
+
+    def pair(self, message: str, reply: str, *s: np.ndarray | None) -> list[float]:
+        m, r = _WORD.findall(message.lower()), _WORD.findall(reply.lower())
         cm, cr = Counter(m), Counter(r)
         both = sum((cm & cr).values())
         covered, covers = both / max(1, len(r)), both / max(1, len(m))
@@ -97,7 +148,6 @@ class Featuriser:
             alike = 2 * len(a & b) / max(1, len(a) + len(b))
         extra = len(r) - both
         novel = len(cr.keys() - cm.keys()) / max(1, len(cr))
-        s = self.speak(message), self.speak(reply)
         gap = 0.0
         asked = {_NAMED[w] for w in m if w in _NAMED}
         if s[0] is not None and s[1] is not None:
@@ -108,7 +158,7 @@ class Featuriser:
         tail = reply.rstrip()
         last = r[-1] if r else ""
         final = tail[-1:] in ".!?。" and not tail.endswith(("...", "…"))
-        body = re.sub(r"```.*?```", "", tail, flags=re.S)
+        body = re.sub(r"```.*?```", "", tail, flags=re.S) if "```" in tail else tail
         fence = tail.count("```") % 2
         brackets = sum(body.count(o) - body.count(c) for o, c in ("()", "[]", "{}"))
         quotes = body.count('"') % 2 or body.count("“") > body.count("”") or body.count("«") > body.count("»") or (body.count("„") > body.count("“") + body.count("”"))
@@ -127,16 +177,19 @@ class Featuriser:
             float(bool(re.search(r"\n\s*(?:\d+[.)]|[-*•])\s*$", reply))), float(never), seldom, float(strange), float(strange and seen2 == 0), novel, float(novel < 0.15 and covers > 0.8),
         ]
 
+    def speaks(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The whole texts' cosines with the languages, or None of texts too short to tell."""
+        if len(self.langs) < 2:
+            return [None] * len(texts)
+        sums, n, _, _ = L.piece_sums(texts, self.table)
+        return [row if k >= 12 else None for row, k in zip(sums / np.sqrt(np.maximum(1, n))[:, None], n.tolist())]
+
     def speak(self, text: str) -> np.ndarray | None:
-        g = L.ngrams(L.letters(text))
-        if len(g) < 12 or len(self.langs) < 2:
-            return None
-        # in blocks, so that memory stays bounded
-        return sum(self.table[g[k : k + 100_000]].sum(0) for k in range(0, len(g), 100_000)) / np.sqrt(len(g))
+        return self.speaks([text])[0]
 
     def grams(self, reply: str) -> np.ndarray:
         tail = reply.rstrip()
-        words = [re.sub(r"\d+", "0", w.lower()) for w in _WORD.findall(reply)]
+        words = _WORD.findall(_DIGITS.sub("0", reply.lower()))
         last = tail[-1:]
         end = "." if last in ".!?" else "w" if last.isalnum() else last
         keys = [f"1{w}" for w in words] + [f"2{a} {b}" for a, b in zip(words, words[1:])] + [f"3{a} {b} {c}" for a, b, c in zip(words, words[1:], words[2:])]
@@ -161,7 +214,7 @@ class Model:
         self.threshold = np.zeros(len(DEFECTS))
 
     def encode(self, pairs: list[tuple[str, str]]) -> tuple[list[np.ndarray], np.ndarray]:
-        return [self.features.grams(r) for _, r in pairs], np.array([self.features.pair(m, r) for m, r in pairs], np.float32).reshape(-1, N_PAIR)
+        return [self.features.grams(r) for _, r in pairs], self.features.pairs(pairs)
 
     def raw(self, grams: list[np.ndarray], pair: np.ndarray) -> np.ndarray:
         out = pair @ self.dense
@@ -194,17 +247,23 @@ class Model:
                 self.sparse[at] -= rate * grad / np.sqrt(acc_s[at])
         held = np.flatnonzero(hold)
         raw = self.raw([grams[i] for i in held], pair[held])
-        self.held_out = {}
+        self.held_out, self.keen = {}, np.zeros(len(DEFECTS))
         for k in range(len(DEFECTS)):
             order = np.argsort(-raw[:, k])
             hit = y[held][order, k]
             good = np.cumsum(hit)
             f1 = 2 * good / (np.arange(1, len(order) + 1) + max(1, hit.sum()))
             best = int(np.argmax(f1))
+            self.keen[k] = np.quantile(raw[y[held][:, k] > 0, k], 0.02) if hit.any() else np.inf
             nxt = raw[order[min(best + 1, len(order) - 1)], k]
             self.threshold[k] = (raw[order[best], k] + nxt) / 2
             self.held_out[DEFECTS[k]] = float(f1[best])
 
+    def doubtful(self, pairs: list[tuple[str, str]]) -> np.ndarray:
+        """Whether a reply may be a refusal: nearly as likely as all but the unlikeliest of the made ones."""
+        k = DEFECTS.index("refusal")
+        return self.raw(*self.encode(pairs))[:, k] > min(self.keen[k], self.threshold[k]) - 0.5 if pairs else np.zeros(0, bool)
+
     def judge(self, pairs: list[tuple[str | None, str | None]]) -> list[str | None]:
         """The one defect of each pair, or None."""
         full = [i for i, (_, r) in enumerate(pairs) if not says_nothing(r)]
@@ -212,14 +271,15 @@ class Model:
         if not full:
             return out
         grams, pair = self.encode([(pairs[i][0] or "", pairs[i][1] or "") for i in full])
-        # exact check: what is opened and not closed, or ends with a word that never ends a sentence, is cut short
+        # of what the classifier leaves open: what is opened and not closed, or ends with a word that in all turns
+        # never ends a sentence, is cut short
         broken = (pair[:, _FENCE] > 0) | (pair[:, _BRACKET] > 0) | ((pair[:, _QUOTE] > 0) & (pair[:, _FINAL] == 0)) | ((pair[:, _NEVER] > 0) & (pair[:, _LONG] > 0)) | (pair[:, _MARK] > 0)
         # and what has nearly all words of a message of some length and no others holds nothing but the message
         echoed = (pair[:, _NOVEL] <= 0.05) & (pair[:, _COVERS] >= 0.9)
         for i, s, b, e in zip(full, self.raw(grams, pair) - self.threshold, broken, echoed):
             k = int(np.argmax(s))
             some = len(_WORD.findall(pairs[i][0] or "")) >= 4
-            out[i] = "copy" if e and some else DEFECTS[k] if s[k] > 0 else "truncated" if b else None
+            out[i] = DEFECTS[k] if s[k] > 0 else "copy" if e and some else "truncated" if b else None
         return out
 
 
@@ -330,6 +390,15 @@ def made(turns: list[tuple[str, str]], speak) -> tuple[list[tuple[str, str]], np
         t = _cut(r, replies, rng) if (tongue[i][0] == tongue[i][1] or None in tongue[i]) else None
         if t and not says_nothing(t):
             add(m, t, "truncated")
+        # short answers: one sentence of another reply, or a list of some of its words
+        other = pick(replies)
+        part = [x for x in _SENTENCE.split(other) if len(x.split()) > 3]
+        if part and i % 2:
+            add(m, pick(part), *(["other_language"] if tongue[i][0] and speak(other) not in (None, tongue[i][0]) else []))
+        elif i % 2 == 0:
+            ws = [w.strip(".,;:!?\"'").lower() for w in other.split()]
+            mark = pick(["- ", "* ", "• ", ""])
+            add(m, "\n".join(f"{mark or f'{k + 1}. '}{' '.join(ws[g : g + int(rng.integers(1, 3))])}" for k, g in enumerate(rng.integers(0, max(1, len(ws) - 1), int(rng.integers(2, 5))))))
         step = i % 4
         if step == 0 and m.strip():
             add(m, _dress(m, rng), "copy")
@@ -337,7 +406,7 @@ def made(turns: list[tuple[str, str]], speak) -> tuple[list[tuple[str, str]], np
         if step in (1, 3):
             # of every language alike, so that rare ones are learned
             own = tongue[i][0] if tongue[i][0] in REFUSALS and rng.random() < 0.5 else pick([*REFUSALS, "en", "en"])
-            core = pick(REFUSALS[own])
+            core = one_of(pick(REFUSALS[own]), rng)
             if own == "en":
                 lead = pick(BEFORE)
                 core = lead + (core[0].lower() + core[1:] if lead and not core.startswith(("I ", "I'")) else core) + pick(AFTER)
@@ -348,6 +417,8 @@ def made(turns: list[tuple[str, str]], speak) -> tuple[list[tuple[str, str]], np
                 g = pick(gaps[-4:])
                 core = core[:g] + core[g + 1 :]
             add(m, core, "refusal")
+            # alone, in another wording
+            add(m, one_of(pick(REFUSALS[pick(["en", *REFUSALS])]), rng) + pick([".", ""]), "refusal")
             add(m, pick(SOUND).format(x=" ".join(pick(replies).split()[1:4]).strip(".,").lower()) + pick(["", " " + r]))
         if step == 2 and tongue[i][0]:
             others = [k for k in by if k != tongue[i][0]]
@@ -356,46 +427,88 @@ def made(turns: list[tuple[str, str]], speak) -> tuple[list[tuple[str, str]], np
                 add(m, pick(by[k]), "other_language")
                 add(pick(ASK).format(NAMED[k].split()[0].capitalize()) + m, pick(by[k]))
         if step in (0, 3):
-            add(m, pick(["Yes", "No", "Not yet", "About twenty minutes", "The red one", "Monday", "All done, thanks!", "Good night", "Around 5 credits", "- eggs\n- rice", "1. first\n2. second\n3. done", "```\nx = 1\n```", "In May 2021", "Station Road 4", "Twice", "The one by the door", "See notes/list :)"]))
+            add(m, pick(["Yes", "No", "Not yet", "About twenty minutes", "The red one", "Monday", "All done, thanks!", "Good night", "Around 5 euros", "- eggs\n- rice", "1. first\n2. second\n3. done", "```\nx = 1\n```", "In May 2021", "Station Road 4", "Twice", "The one by the door", "See notes/list :)"]))
     return pairs, np.array(labels, np.float32)
 
 
-def _endings(pairs: list[tuple[str, str]]) -> dict[str, tuple[int, int, int]]:
-    """Counts of words and of two words in a row, of those at a sentence's end, and of those at a line's end without a
-    stop (words seen once are left out)."""
+def _endings(texts: list[str]) -> tuple[Counter[str], Counter[str], Counter[str]]:
+    """Counts of words and of two words in a row, of those at a sentence's end, and of those at a line's end without a stop."""
     seen: Counter[str] = Counter()
     ends: Counter[str] = Counter()
     bare: Counter[str] = Counter()
-    for m, r in pairs:
-        for text in (m, r):
-            for part in re.split(r"(?<=[.!?])\s+|\n", text):
-                ws = [w.lower() for w in _WORD.findall(part)]
-                keys = ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])]
-                seen.update(keys)
-                if ws:
-                    (ends if part.rstrip()[-1:] in (".", "!", "?") else bare).update({ws[-1], " ".join(ws[-2:])})
-    return {w: (n, ends[w], bare[w]) for w, n in seen.items() if n >= 2}
-
-
-def train(turns: list[tuple[str, str]], table: np.ndarray, langs: tuple[str, ...]) -> Model:
-    """A model from at most ``SAMPLE`` (message, reply) turns; turns found defective by a first model are left out."""
+    for text in texts:
+        for part in _SENTENCE.split(text):
+            ws = _WORD.findall(part.lower())
+            if ws:
+                seen.update(ws)
+                seen.update([f"{a} {b}" for a, b in zip(ws, ws[1:])])
+                (ends if part.rstrip()[-1:] in (".", "!", "?") else bare).update({ws[-1], " ".join(ws[-2:])})
+    return seen, ends, bare
+
+
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
+#: Words and pairs of words whose counts are broadcast are each at least one in so many of all; with the least count, this bounds their number.
+SHARE, LEAST = 400_000, 2
+_FLUSH = 300_000
+
+
+def endings(turns: DataFrame) -> dict[str, tuple[int, int, int]]:
+    """``_endings`` of both sides of all turns: word or two words -> (seen, at a sentence's end, at a line's end).
+
+    Counted in the executors; words rarer than one in ``SHARE`` are left out, so the table has at most that many rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Counter(), Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            seen, ends, bare = total
+            ws = list(seen)
+            return pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), *(pa.array([c[w] for w in ws], pa.int64()) for c in total)], ["w", "seen", "ends", "bare"])
+
+        for batch in batches:
+            for c, more in zip(total, _endings([t for col in batch.columns for t in col.to_pylist() if t])):
+                c.update(more)
+            if len(total[0]) > _FLUSH:
+                yield out()
+                total = Counter(), Counter(), Counter()
+        if total[0]:
+            yield out()
+
+    rows = turns.select("user_message", "assistant_reply").mapInArrow(count, "w string, seen bigint, ends bigint, bare bigint")
+    summed = rows.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("seen", "ends", "bare"))).filter(F.col("seen") >= LEAST)
+    summed = cut(summed)
+    every = summed.agg(F.sum("seen")).first()[0] or 0
+    return {r["w"]: (r["seen"], r["ends"], r["bare"]) for r in summed.filter(F.col("seen") * SHARE >= every).collect()}
+
+
+def train(turns: list[tuple[str, str]], table: np.ndarray, langs: tuple[str, ...], known: dict[str, tuple[int, int, int]] | None = None) -> Model:
+    """A model from at most ``SAMPLE`` (message, reply) turns; turns found defective by a first model are left out.
+
+    known: the counts of ``endings``, by default those of the turns given."""
     full = [(m or "", r) for m, r in turns if not says_nothing(r)]
-    model = Model(Featuriser(table, langs, _endings(full)))
+    if known is None:
+        seen, ends, bare = _endings([t for pair in full for t in pair])
+        known = {w: (n, ends[w], bare[w]) for w, n in seen.items() if n >= LEAST}
+    model = Model(Featuriser(table, langs, known))
 
     def speak(text: str) -> str | None:
         s = model.features.speak(text)
         return None if s is None else langs[int(np.argmax(s))]
 
+    def fitted(of: list[tuple[str, str]], epochs: int) -> Model:
+        out = Model(model.features)
+        pairs, y = made(of if len(of) >= 20 else full or [("", "no data at all to learn from here")], speak)
+        out.fit(*out.encode(pairs), y, epochs)
+        return out
+
+    def clean(of: list[tuple[str, str]], by: Model) -> list[tuple[str, str]]:
+        return [p for p, d, doubt in zip(of, by.judge(of), by.doubtful(of)) if d is None and not doubt]
+
     good = [(m, r) for m, r in full if (m.strip().lower() != r.strip().lower())]
-    for last in (False, True):
-        model = Model(model.features)
-        if len(good) < 20:
-            good = full or [("", "no data at all to learn from here")]
-        pairs, y = made(good, speak)
-        model.fit(*model.encode(pairs), y)
-        if not last:
-            good = [p for p, d in zip(good, model.judge(good)) if d is None]
-    return model
+    # real defects among the turns are no examples of sound ones: each half is cleaned by a model of the other one first
+    halves = good[::2], good[1::2]
+    good = [p for mine, other in (halves, halves[::-1]) for p in clean(mine, fitted(other, 4))]
+    return fitted(good, 6)
 
 
 def defects(turns: DataFrame, documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -408,7 +521,7 @@ def defects(turns: DataFrame, documents: DataFrame, sample: int = SAMPLE) -> Dat
     full = turns.select("turn_id", "user_message", "assistant_reply").filter("turn_id IS NOT NULL")
     usable = full.filter("assistant_reply IS NOT NULL AND user_message IS NOT NULL")
     got = list({r["turn_id"]: r for r in bounded(usable, "turn_id", sample, SEED)}.values())
-    model = train([(r["user_message"], r["assistant_reply"]) for r in got], *L.model(documents, LANGUAGE_SAMPLE)[:2])
+    model = train([(r["user_message"], r["assistant_reply"]) for r in got], *L.model(documents, LANGUAGE_SAMPLE)[:2], endings(full))
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,6 +191,34 @@ def test_made_defects_are_found(turns, table):
     assert model.judge([]) == []
 
 
+#: Refusals in wordings that the training grammar does not make.
+UNSEEN = (
+    "I'm going to have to pass on this one.|Sorry, that isn't something I can assist with.|I don't think I should answer that.|That's not a subject I'm able to speak to.|I'm sorry, I can't go along with this.|Answering this would be against my rules."
+    "|No, I won't write that.|I'm not going to discuss that matter.|Unfortunately I am unable to fulfil this request.|I have been told not to talk about this.|Sorry, but no: I can't produce this kind of text.|I am not the right one to advise you on this, so I will leave it there."
+    "|Das kann ich dir leider nicht sagen, dazu bin ich nicht befugt.|Hierzu gebe ich keine Auskunft.|Je préfère ne pas aborder ce sujet.|Prefiero no hablar de ese asunto.|Prefiro não falar desse assunto.|Preferisco non parlare di questo argomento."
+    "|Daar ga ik liever niet op in.|Jag avstår från att kommentera det."
+).split("|")
+
+
+def test_refusals_in_unseen_words(turns, table):
+    """Recall on held-out wordings, and sound answers that look like them."""
+    full = turns.dropna(subset=["user_message", "assistant_reply"])
+    model = P.train(list(zip(full.user_message, full.assistant_reply)), *table)
+    m = "When did my uncle sell the green boat near the harbour?"
+    found = [d == "refusal" for d in model.judge([(m, r) for r in UNSEEN])]
+    assert sum(found) >= 0.8 * len(UNSEEN), [r for r, f in zip(UNSEEN, found) if not f]
+    sound = ["I could not find the boat in your notes.", "Your uncle refused to sell it.", "- milk\n- bread\n- two lemons", "He sold it in May", "Unfortunately, it was sold before the storm."]
+    assert model.judge([(m, r) for r in sound]).count("refusal") == 0
+
+
+def test_word_counts_cover_all_turns(spark, monkeypatch):
+    monkeypatch.setattr(P, "_FLUSH", 3)
+    rows = [(i, "See the boat\nnow", "The boat left. The boat", 0) for i in range(10)] + [(99, None, None, 0)]
+    known = P.endings(spark.createDataFrame(rows, "turn_id int, user_message string, assistant_reply string, w int"))
+    assert known["the"] == (30, 0, 0) and known["left"] == (10, 10, 0) and known["the boat"] == (30, 0, 20) and known["now"] == (10, 0, 10)
+    assert P.endings(spark.createDataFrame([], "user_message string, assistant_reply string")) == {}
+
+
 # ------------------------------------------------------------------ 5: personal information
 @pytest.mark.parametrize(
     "text, want",
