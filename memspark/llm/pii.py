@@ -2,16 +2,15 @@
 
 Each text is read whole. Numbers are taken as runs of digit groups and told apart by their formats and by the word
 before them; addresses by their street words; names by a given name, short name or initials beside a capitalised
-(or equally cased) surname. Replacements are placeholders ``[TYPE pseudonym]``: the digits of phone, identity and
-house numbers go through a keyed Feistel permutation of the numbers of that length, written in the format found,
-so equal values stay equal across documents and formats and the permutation can be undone with the key; words
-get a keyed tag.
+(or equally cased) surname, and those of no list by a trained recogniser of their context (``name_model``).
+Replacements are placeholders ``[TYPE pseudonym]`` by the rules of ``pseudonyms``: numbers, and dates of birth if asked
+for, are permuted in their format under the caller's key, so equal values stay linked across documents and formats.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import secrets
 import unicodedata
 from collections.abc import Iterator
 
@@ -19,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.names import _BIZ, _LEGAL, _SHORT, NICKNAMES, TITLES
+from memspark.llm import name_model as M
+from memspark.llm.names import _BIZ, _LEGAL, _SHORT, TITLES
+from memspark.llm.pseudonyms import _DATE, pseudonym
+from memspark.llm.samples import bounded
 
 TYPES = ("email", "phone", "id_number", "street_address", "name")
-DEFAULT_KEY = b"memspark-pii"
-ROUNDS = 10
+#: Texts that the recogniser of names is trained on, at most.
+SAMPLE = 4000
 
 # ---------------------------------------------------------------- e-mail
 _AT = r"(?:\s?@\s?|\s?[\[({<]\s?at\s?[\])}>]\s?|\sat\s)"
@@ -129,17 +131,14 @@ def _streets(text: str, plain: str) -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- names
 #: Frequent words, titles of things and sentence openers that are no surnames.
 _COMMON = set(
-    """the a an and or but of to in on at by for from with without about after before during into over under near since so while until because although though if then than as is was are were be been has have had
-    do does did will would can could may might must shall should not no yes it its this that these those he she they we you i me my your his her our their him them us who whom which what when where why how
-    said says mentioned asked told wants want likes like met saw went came got gave has had made took sent wrote called paid moved sold bought again still also just only very too here there now today yesterday
-    tomorrow monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december last next first second third new old little big please
-    dear hello hi thanks regards best and for credits minutes people days day week month year time times ago offered keeps plans sorted bought between offered lease draft note coffee list tutor guest class
-    class room chapter building project step ticket order tracking build flat sensor meter talk invoice kickoff contract shelves cousin aunt sister brother friend colleague courier coach team committee dentist
-    landlord librarian manager neighbour plumber assistant choir we're there's it's i'm don't according unfortunately somebody someone nobody recently late early around check since great step stand hatte della bell meter just over three two one in am im und der
-    die das ist mit von hat wir ich et le la les des une un est dans il elle je nous el los las una en y es por con mi il lo gli uno nel per con mio o os as um uma no na do da meu minha de het een en van is
-    mijn met och i på en ett med min mitt att som""".split()
+    """the a an and or but of to in on at by for from with without about after before during into over under near since so while until because although though if then than as is was are were be been has have had do does did will would can could
+    may might must shall should not no yes it its this that these those he she they we you i me my your his her our their him them us who whom which what when where why how said says mentioned asked told wants want likes like met saw went came
+    got gave made took sent wrote called paid moved sold bought again still also just only very too here there now today yesterday tomorrow monday tuesday wednesday thursday friday saturday sunday january february march april june july august
+    september october november december last next first second third new old little big please dear hello hi thanks regards best minutes people days day week month year time times ago keeps sorted between note room building project we're
+    there's it's i'm don't according unfortunately somebody someone nobody recently late early around check three two one am im und der die das ist mit von hat wir ich et le la les des une un est dans il elle je nous el los las una en y es por
+    con mi lo gli uno nel per mio o os um uma na da meu minha de het een van mijn och på ett med min mitt att som""".split()
 )
-_THINGS = {"harbour", "bridge", "hall", "road", "street", "park", "station", "square", "school", "hotel", "museum", "library", "project", "lite", "two", "diet", "method", "scale", "bridge", "lake", "river", "mill"}
+_THINGS = {"harbour", "bridge", "hall", "road", "street", "park", "station", "square", "school", "hotel", "museum", "library", "project", "two", "lake", "river", "mill"}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _WORDS = re.compile(r"[^\W\d_]+")
 _INITIALS = re.compile(r"\b[A-Z]\.? ?[A-Z]?\.? [A-Z]|\b[A-Z]{2,4} [A-Z][a-zà-ÿ]")
@@ -284,89 +283,104 @@ def _initialed(word: str, low: str) -> bool:
 _DIGIT = re.compile(r"\d")
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
-    """Items as (start, end, type), in order, without overlaps; null and empty texts have none."""
+_BORN = re.compile(r"(?:\bborn(?:\son)?|date of birth|\bd\.?o\.?b\.?|birthday|geboren(?:\sam)?|geburtsdatum|née? le|date de naissance|nacid[oa] el|fecha de nacimiento|nascid[oa] (?:em|a)|data de nascimento|nat[oa] il|data di nascita|geboortedatum|född(?:\sden)?)\W{1,3}$", re.I)
+
+
+def find(text: str | None, names: M.Recogniser | None = None, dates: bool = False) -> list[tuple[int, int, str]]:
+    """Items as (start, end, type), in order, without overlaps; null and empty texts have none.
+
+    names: a trained recogniser for names of no list; dates: numeric dates of birth too, as type ``date``."""
     if not text:
         return []
     plain = _plain(text)
     out = [(a, b, "email") for a, b in _emails(text)]
     free = lambda a, b: all(b <= x or y <= a for x, y, _ in out)
     if _DIGIT.search(text):
+        if dates:
+            out += [(*m.span(), "date") for m in _DATE.finditer(text) if _BORN.search(text[max(0, m.start() - 24) : m.start()]) and free(*m.span())]
         out += [(a, b, "street_address") for a, b in _streets(text, plain) if free(a, b)]
         out += [(a, b, t) for a, b, t in _numbers(text) if free(a, b)]
     out += [(a, b, "name") for a, b in _names(text, plain) if free(a, b)]
+    if names is not None:
+        out += [(a, b, "name") for a, b, words in M.candidates(text) if free(a, b) and _may_name(words) and names.likely(text, a, b, words)]
     return sorted(out)
 
 
-# ---------------------------------------------------------------- pseudonyms
-def _round(key: bytes, i: int, n: int, half: str, modulus: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{i}|{n}|{half}".encode(), key=key, digest_size=16).digest(), "big") % modulus
-
+def _may_name(words: tuple[str, ...]) -> bool:
+    """No word of a candidate is a common, business or place word."""
+    return not any(low in _COMMON or low in _THINGS or low in _BIZ or low in _LEGAL or low in TITLES for low in map(_plain, words))
 
-def permute(digits: str, key: bytes = DEFAULT_KEY, inverse: bool = False) -> str:
-    """A keyed permutation of the digit strings of this length (alternating Feistel network, radix 10)."""
-    n = len(digits)
-    if n < 2:
-        return digits if not n else str((int(digits) + (-1 if inverse else 1) * _round(key, 0, 1, "", 10)) % 10)
-    u, v = n // 2, n - n // 2
-    a, b = digits[:u], digits[u:]
-    order = range(ROUNDS - 1, -1, -1) if inverse else range(ROUNDS)
-    for i in order:
-        width = u if i % 2 == 0 else v
-        if inverse:
-            c = (int(b) - _round(key, i, n, a, 10**width)) % 10**width
-            a, b = str(c).zfill(width), a
-        else:
-            c = (int(a) + _round(key, i, n, b, 10**width)) % 10**width
-            a, b = b, str(c).zfill(width)
-    return a + b
 
-
-def _in_format(value: str, digits: str) -> str:
-    it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in value)
+def recogniser(texts: list[str]) -> M.Recogniser:
+    """A recogniser trained on the candidates of ``texts``, those found by rule as names."""
+    out, x, y = M.Recogniser(), [], []
+    for text in texts:
+        found = {(a, b) for a, b, k in find(text) if k == "name"}
+        for a, b, words in M.candidates(text):
+            x.append(M.features(text, a, b, words))
+            y.append((a, b) in found)
+    if any(y) and not all(y):
+        out.fit(x, y)
+    return out
 
 
-def pseudonym(kind: str, value: str, key: bytes = DEFAULT_KEY) -> str:
-    """Digits permuted within the format found (letters of an id number stay); words as a keyed tag."""
-    digits = "".join(c for c in value if c.isdigit())
-    if kind in ("phone", "id_number"):
-        return _in_format(value, permute(digits, key))
-    norm = " ".join(sorted(re.findall(r"\w+", _plain(value)))) if kind == "name" else re.sub(r"\W+", " ", _plain(value)).strip()
-    return hashlib.blake2b(f"{kind}|{norm}".encode(), key=key, digest_size=4).hexdigest()
+def _trained(texts: DataFrame, sample: int) -> M.Recogniser:
+    some = texts.filter("text IS NOT NULL AND row_id IS NOT NULL").select(F.concat_ws("|", "src_table", "src_field", "row_id").alias("key"), "text")
+    return recogniser([r["text"] for r in bounded(some, "key", sample, M.SEED)])
 
 
-def redact(text: str | None, key: bytes = DEFAULT_KEY) -> str | None:
+# ---------------------------------------------------------------- frames
+def replaced(text: str, found: list[tuple[int, int, str]], key: bytes) -> str:
     """The text with every item replaced by ``[TYPE pseudonym]``; all else is unchanged."""
-    if not text:
-        return text
     out, at = [], 0
-    for a, b, kind in find(text):
+    for a, b, kind in found:
         out += [text[at:a], f"[{kind.upper()} {pseudonym(kind, text[a:b], key)}]"]
         at = b
     return "".join([*out, text[at:]])
 
 
-def items(texts: DataFrame) -> DataFrame:
-    """Distinct (src_table, src_field, row_id, pii_type, pii_text) of texts (src_table, src_field, row_id, text)."""
+def redact(text: str | None, key: bytes, dates: bool = False) -> str | None:
+    return replaced(text, find(text, dates=dates), key) if text else text
+
+
+_ITEM = "src_table string, src_field string, row_id string, pii_type string, pii_text string, pseudonym string"
+
+
+def scan(texts: DataFrame, key: bytes | None = None, sample: int = SAMPLE) -> DataFrame:
+    """Distinct items of texts (src_table, src_field, row_id, text) with their pseudonyms.
+
+    key: the caller's secret; without one a new one is drawn, whose pseudonyms link values within this frame only.
+    Null texts and empty tables have no items; other columns are ignored; repeated rows count once."""
+    key = key or secrets.token_bytes(32)
+    held = texts.sparkSession.sparkContext.broadcast(_trained(texts, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {(t, f, r, k, x[a:b]) for t, f, r, x in zip(*(c.to_pylist() for c in batch.columns)) for a, b, k in find(x)}
+            rows = {(t, f, r, k, x[a:b]) for t, f, r, x in zip(*(c.to_pylist() for c in batch.columns)) for a, b, k in find(x, held.value)}
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*sorted(rows, key=str))], ["src_table", "src_field", "row_id", "pii_type", "pii_text"])
+                full = [(*r, pseudonym(r[3], r[4], key)) for r in sorted(rows, key=str)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*full)], [p.split()[0] for p in _ITEM.split(", ")])
+
+    return texts.select("src_table", "src_field", "row_id", "text").mapInArrow(run, _ITEM).distinct()
+
 
-    return texts.select("src_table", "src_field", "row_id", "text").mapInArrow(run, "src_table string, src_field string, row_id string, pii_type string, pii_text string").distinct()
+def items(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(src_table, src_field, row_id, pii_type, pii_text) of ``scan``."""
+    return scan(texts, sample=sample).select("src_table", "src_field", "row_id", "pii_type", "pii_text")
 
 
-def redacted(texts: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """The texts with typed placeholders: (src_table, src_field, row_id, text, n_items), a row per input row."""
+def redacted(texts: DataFrame, key: bytes | None = None, dates: bool = False, sample: int = SAMPLE) -> DataFrame:
+    """The texts with typed placeholders: (src_table, src_field, row_id, text, n_items), a row per input row; key as in ``scan``."""
+    key = key or secrets.token_bytes(32)
+    held = texts.sparkSession.sparkContext.broadcast(_trained(texts, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            new = [redact(t, key) for t in texts]
-            count = [len(find(t)) for t in texts]
+            new, count = [], []
+            for text in batch.column(3).to_pylist():
+                found = find(text, held.value, dates)
+                new.append(replaced(text, found, key) if found else text)
+                count.append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(new, pa.string()), pa.array(count, pa.int32())], ["src_table", "src_field", "row_id", "text", "n_items"])
 
     return texts.select("src_table", "src_field", "row_id", "text").mapInArrow(run, "src_table string, src_field string, row_id string, text string, n_items int")

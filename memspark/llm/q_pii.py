@@ -17,7 +17,9 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_redacted(spark: SparkSession, root: str) -> DataFrame:
-    return P.redacted(_texts(spark, root))
+    """Under the secret of the session's ``spark.memspark.pii.key``, or a new one for each run."""
+    key = spark.conf.get("spark.memspark.pii.key", None)
+    return P.redacted(_texts(spark, root), key.encode() if key else None)
 
 
 QUERIES = {"p5_found": p5_found, "p5_redacted": p5_redacted}
