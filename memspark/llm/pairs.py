@@ -10,6 +10,7 @@ what the classifier leaves open is judged by what is opened and not closed and b
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ from memspark.llm import languages as L
 from memspark.llm.samples import bounded
 from memspark.session import cut
 
+#: Words from which a reply is long.
+LONG = 25
 DEFECTS = ("truncated", "refusal", "copy", "other_language")
 #: Turns the classifier is trained from, and documents its language profiles are.
 SAMPLE, LANGUAGE_SAMPLE = 3000, 1600
@@ -93,8 +96,21 @@ def one_of(sentence: str, rng: np.random.Generator) -> str:
     return re.sub(" +", " ", out).strip()
 
 
+#: Short sound answers, written in the same way.
+SHORT = {
+    "en": ["{He|She|They|You|It|Your aunt} {sold it|bought it|left|came back|arrived|was late|moved there|lost it|kept it} {in May|last week|on Monday|two days ago|before noon|after the trip|in 2019|by train}", "{In May|On Monday|Last week|Two days ago}{, I think|}", "{The blue one|Your brother|A friend|Both of them|Nobody}{ did| was there|}"],
+    "de": ["{Er|Sie} {kam|ging|blieb|verkaufte es} {im Mai|am Montag|letzte Woche|vor zwei Tagen}"], "fr": ["{Il|Elle} est {venu|parti|resté} {en mai|lundi|la semaine dernière|il y a deux jours}"],
+    "es": ["{Fue|Llegó|Salió|Lo vendió} {en mayo|el lunes|la semana pasada|hace dos días}"], "pt": ["{Foi|Chegou|Saiu|Vendeu-o} {em maio|na segunda-feira|na semana passada|há dois dias}"],
+    "it": ["{È arrivato|È partito|È rimasto} {a maggio|lunedì|la settimana scorsa|due giorni fa}"], "nl": ["{Hij|Zij} {kwam|ging|bleef} {in mei|op maandag|vorige week|twee dagen geleden}"], "sv": ["{Han|Hon} {kom|gick|stannade} {i maj|på måndagen|förra veckan|för två dagar sedan}"],
+}
 BEFORE = ["", "", "Sorry, ", "I'm sorry, but ", "Unfortunately, ", "Apologies, ", "To be honest, ", "Thanks for asking, but ", "I understand why you ask, however "]
 AFTER = ["", "", ".", " at this time.", ", and I hope you understand.", ". Please ask a qualified person instead.", ". Is there anything else you would like to talk about?", ". Let's talk about something different."]
+#: What may follow a refusal in the other languages.
+ELSE = {
+    "de": ", bitte {wenden Sie sich an|wende dich an|fragen Sie|frag} {eine Fachperson|jemand anderen|eine Beratungsstelle}", "fr": ", {adressez-vous à|demandez plutôt à|veuillez consulter} {un spécialiste|un professionnel|quelqu'un d'autre}",
+    "es": ", {consulta a|pregunta a|es mejor hablar con} {un profesional|un especialista|otra persona}", "pt": ", {consulte|pergunte a|é melhor falar com} {um profissional|um especialista|outra pessoa}", "it": ", {rivolgiti a|chiedi a|è meglio parlare con} {un esperto|un professionista|qualcun altro}",
+    "nl": ", {vraag het aan|neem contact op met|raadpleeg} {een deskundige|een specialist|iemand anders}", "sv": ", {fråga|vänd dig till|tala med} {en sakkunnig|en fackman|någon annan}",
+}
 #: Sound sentences that look like refusals.
 SOUND = (
     "Unfortunately, the {x} was sold before you arrived.|I'm sorry to hear that the {x} broke.|You can't return the {x} after two weeks.|You said you are not able to carry the {x} alone.|You never told me about the {x}, so I don't know."
@@ -121,6 +137,12 @@ class Featuriser:
     def __init__(self, table: np.ndarray, langs: tuple[str, ...], known: dict[str, tuple[int, int, int]]):
         """known: how often a word or two words stand in the turns, and how often at a sentence's end, with and without a stop."""
         self.table, self.langs, self.known = table, langs, known
+        self.keys = sorted(known)
+
+    def cut_word(self, two: str) -> bool:
+        """Whether two words, which stand nowhere but at such ends, become known ones if the second goes on."""
+        i = bisect_right(self.keys, two)
+        return " " in two and i < len(self.keys) and self.keys[i].startswith(two) and self.known[self.keys[i]][0] >= 4
 
     def pairs(self, both: list[tuple[str, str]]) -> np.ndarray:
         """A row of features for each (message, reply); the languages of all texts are judged together."""
@@ -156,17 +178,19 @@ class Featuriser:
                 gap = min(s[1][j] - s[1][i], s[0][i] - s[0][j])
         told = gap > 0 and s[1] is not None and self.langs[int(np.argmax(s[1]))] in asked
         tail = reply.rstrip()
-        last = r[-1] if r else ""
+        ending = [_DIGITS.sub("0", w) for w in r[-2:]]
+        last = ending[-1] if r else ""
         final = tail[-1:] in ".!?。" and not tail.endswith(("...", "…"))
         body = re.sub(r"```.*?```", "", tail, flags=re.S) if "```" in tail else tail
         fence = tail.count("```") % 2
         brackets = sum(body.count(o) - body.count(c) for o, c in ("()", "[]", "{}"))
         quotes = body.count('"') % 2 or body.count("“") > body.count("”") or body.count("«") > body.count("»") or (body.count("„") > body.count("“") + body.count("”"))
         seen, ends, bare = self.known.get(last, (0, 0, 0))
-        two = " ".join(r[-2:])
-        seen2, ends2, _ = self.known.get(two, (0, 0, 0))
+        two = " ".join(ending)
+        seen2, ends2, bare2 = self.known.get(two, (0, 0, 0))
         stop = final or not last or last.isdigit()
-        unknown = not stop and seen == 0
+        inside = not stop and seen2 <= bare2 and self.cut_word(two)
+        unknown = not stop and seen <= bare  # nowhere but at such an end
         never = not stop and seen >= 8 and ends <= 0.002 * seen and bare <= 0.05 * seen
         seldom = 0.0 if stop else min(1.0, seen / 5) * (1 - min(1.0, ends / max(1, seen) * 4))
         strange = not stop and len(r) > 6 and ends2 == 0
@@ -174,7 +198,7 @@ class Featuriser:
             1.0, covered, covers, float(covered > 0.9 and covers > 0.8), alike, float(alike > 0.8), min(3.0, extra / max(1, len(m))), float(extra == 0), np.log1p(len(r)) / 5, np.log1p(len(m)) / 5,
             max(0.0, gap) * 5, float(gap > 0.08) * (not told), float(gap > 0.03) * (not told), float(told), float(bool(asked)), float(final), float(bool(fence)), float(brackets > 0), float(bool(quotes)),
             float(unknown), float(tail.endswith(("...", "…", "[…]", "[...]"))), float(tail.endswith((",", ";", " -", "(", "and", "/"))), float(tail.endswith((":)", ":-)", ";)", "🙂", "😊"))), float(not final and len(r) > 6), float(len(r) <= 4),
-            float(bool(re.search(r"\n\s*(?:\d+[.)]|[-*•])\s*$", reply))), float(never), seldom, float(strange), float(strange and seen2 == 0), novel, float(novel < 0.15 and covers > 0.8),
+            float(bool(re.search(r"\n\s*(?:\d+[.)]|[-*•])\s*$", reply))), float(never), seldom, float(strange), float(not stop and seen2 <= bare2), novel, float(novel < 0.15 and covers > 0.8), float(inside), float(tail.endswith((",", ";", "("))),
         ]
 
     def speaks(self, texts: list[str]) -> list[np.ndarray | None]:
@@ -197,11 +221,11 @@ class Featuriser:
         return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(k) >> (64 - HASH_BITS) for k in keys), np.int64, len(keys)))
 
 
-N_PAIR = 32
+N_PAIR = 34
 
 
 #: Places of pair features.
-_COVERS, _FINAL, _FENCE, _BRACKET, _QUOTE, _LONG, _MARK, _NEVER, _NOVEL = 2, 15, 16, 17, 18, 23, 25, 26, 30
+_COVERS, _FINAL, _FENCE, _BRACKET, _QUOTE, _LONG, _MARK, _NEVER, _NOVEL, _INSIDE, _COMMA = 2, 15, 16, 17, 18, 23, 25, 26, 30, 32, 33
 
 
 class Model:
@@ -271,9 +295,9 @@ class Model:
         if not full:
             return out
         grams, pair = self.encode([(pairs[i][0] or "", pairs[i][1] or "") for i in full])
-        # of what the classifier leaves open: what is opened and not closed, or ends with a word that in all turns
-        # never ends a sentence, is cut short
-        broken = (pair[:, _FENCE] > 0) | (pair[:, _BRACKET] > 0) | ((pair[:, _QUOTE] > 0) & (pair[:, _FINAL] == 0)) | ((pair[:, _NEVER] > 0) & (pair[:, _LONG] > 0)) | (pair[:, _MARK] > 0)
+        # of what the classifier leaves open: what is opened and not closed, or ends with a comma, inside a word, or with
+        # a word that in all turns never ends a sentence, is cut short
+        broken = (pair[:, _FENCE] > 0) | (pair[:, _BRACKET] > 0) | ((pair[:, _QUOTE] > 0) & (pair[:, _FINAL] == 0)) | ((pair[:, _NEVER] > 0) & (pair[:, _LONG] > 0)) | (pair[:, [_MARK, _INSIDE, _COMMA]] > 0).any(1)
         # and what has nearly all words of a message of some length and no others holds nothing but the message
         echoed = (pair[:, _NOVEL] <= 0.05) & (pair[:, _COVERS] >= 0.9)
         for i, s, b, e in zip(full, self.raw(grams, pair) - self.threshold, broken, echoed):
@@ -411,7 +435,7 @@ def made(turns: list[tuple[str, str]], speak) -> tuple[list[tuple[str, str]], np
                 lead = pick(BEFORE)
                 core = lead + (core[0].lower() + core[1:] if lead and not core.startswith(("I ", "I'")) else core) + pick(AFTER)
             else:
-                core += pick([".", "", "."])
+                core += pick(["", "", one_of(ELSE.get(own, ""), rng)]) + pick([".", "", "."])
             gaps = [g.start() for g in re.finditer(" ", core)]
             if gaps and rng.random() < 0.2:  # a blank lost
                 g = pick(gaps[-4:])
@@ -426,6 +450,8 @@ def made(turns: list[tuple[str, str]], speak) -> tuple[list[tuple[str, str]], np
                 k = pick(others)
                 add(m, pick(by[k]), "other_language")
                 add(pick(ASK).format(NAMED[k].split()[0].capitalize()) + m, pick(by[k]))
+        if step in (1, 2):
+            add(m, one_of(pick(SHORT[tongue[i][0] if tongue[i][0] in SHORT else "en"]), rng) + pick(["", "."]))
         if step in (0, 3):
             add(m, pick(["Yes", "No", "Not yet", "About twenty minutes", "The red one", "Monday", "All done, thanks!", "Good night", "Around 5 euros", "- eggs\n- rice", "1. first\n2. second\n3. done", "```\nx = 1\n```", "In May 2021", "Station Road 4", "Twice", "The one by the door", "See notes/list :)"]))
     return pairs, np.array(labels, np.float32)
@@ -438,11 +464,12 @@ def _endings(texts: list[str]) -> tuple[Counter[str], Counter[str], Counter[str]
     bare: Counter[str] = Counter()
     for text in texts:
         for part in _SENTENCE.split(text):
-            ws = _WORD.findall(part.lower())
+            ws = _WORD.findall(_DIGITS.sub("0", part.lower()))
             if ws:
                 seen.update(ws)
                 seen.update([f"{a} {b}" for a, b in zip(ws, ws[1:])])
-                (ends if part.rstrip()[-1:] in (".", "!", "?") else bare).update({ws[-1], " ".join(ws[-2:])})
+                tail = part.rstrip()
+                (ends if tail[-1:] in (".", "!", "?") and not tail.endswith("..") else bare).update({ws[-1], " ".join(ws[-2:])})
     return seen, ends, bare
 
 
@@ -505,10 +532,10 @@ def train(turns: list[tuple[str, str]], table: np.ndarray, langs: tuple[str, ...
         return [p for p, d, doubt in zip(of, by.judge(of), by.doubtful(of)) if d is None and not doubt]
 
     good = [(m, r) for m, r in full if (m.strip().lower() != r.strip().lower())]
-    # real defects among the turns are no examples of sound ones: each half is cleaned by a model of the other one first
-    halves = good[::2], good[1::2]
-    good = [p for mine, other in (halves, halves[::-1]) for p in clean(mine, fitted(other, 4))]
-    return fitted(good, 6)
+    # real defects among the turns are no examples of sound ones; as refusals are short, the model that finds them
+    # learns what is sound from long replies, their sentences and lists alone
+    long = [(m, r) for m, r in good if len(r.split()) >= LONG]
+    return fitted(clean(good, fitted(long if len(long) >= 20 else good, 4)), 6)
 
 
 def defects(turns: DataFrame, documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
