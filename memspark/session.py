@@ -33,14 +33,19 @@ def build(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "memspa
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``, or by the context's own checkpoint folder.
+
+    Where the session names none, a temporary folder is set, but only if driver and executors are one machine;
+    anywhere else that would lose data with an executor, so it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="memspark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="memspark-"))
+        named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return named
 
 

@@ -1,3 +1,4 @@
+import pytest
 """Sources and sinks besides tables."""
 
 import json
@@ -37,3 +38,31 @@ def test_log_and_keys(spark, tmp_path):
 def test_resolve(tmp_path):
     (tmp_path / "x.json").write_text("[]")
     assert S.resolve("/abs/x") == "/abs/x" and S.resolve("x.json", str(tmp_path)) == str(tmp_path / "x.json")
+
+
+@pytest.mark.parametrize("master, fails", [("local[1]", False), ("spark://far:7077", True)])
+def test_checkpoint_folder_without_a_setting(spark, monkeypatch, master, fails):
+    """A session that names no folder gets one where it is a single machine, and an error elsewhere."""
+    from types import SimpleNamespace
+
+    from memspark.session import checkpoint_dir
+
+    class Held:
+        def __init__(self):
+            self.at = None
+
+        def isDefined(self):
+            return self.at is not None
+
+        def get(self):
+            return self.at
+
+    held = Held()
+    context = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: held)), setCheckpointDir=lambda d: setattr(held, "at", d))
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=context)
+    if fails:
+        with pytest.raises(RuntimeError):
+            checkpoint_dir(fake)
+    else:
+        assert checkpoint_dir(fake) == checkpoint_dir(fake) == held.at
+    assert checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: "s3://x"))) == "s3://x"
