@@ -462,14 +462,16 @@ def _endings(texts: list[str]) -> tuple[Counter[str], Counter[str], Counter[str]
     seen: Counter[str] = Counter()
     ends: Counter[str] = Counter()
     bare: Counter[str] = Counter()
+    pairs: Counter[tuple[str, str]] = Counter()
     for text in texts:
         for part in _SENTENCE.split(text):
             ws = _WORD.findall(_DIGITS.sub("0", part.lower()))
             if ws:
                 seen.update(ws)
-                seen.update([f"{a} {b}" for a, b in zip(ws, ws[1:])])
+                pairs.update(zip(ws, ws[1:]))
                 tail = part.rstrip()
                 (ends if tail[-1:] in (".", "!", "?") and not tail.endswith("..") else bare).update({ws[-1], " ".join(ws[-2:])})
+    seen.update({f"{a} {b}": n for (a, b), n in pairs.items()})
     return seen, ends, bare
 
 
