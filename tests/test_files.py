@@ -1,8 +1,8 @@
-import pytest
 """Sources and sinks besides tables."""
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from memspark.sources import files as S
