@@ -255,3 +255,4 @@ named AS (SELECT * FROM (SELECT qid, unnest(l) AS name, generate_subscripts(l, 1
 SQL["comparison_retrieve"] = f"{_CMP} SELECT qid, memory_id, round(least(0.98, arg_min(score, pos) + 0.10 * (count(*) - 1))::DOUBLE, 6) AS score FROM ids JOIN er USING (entity_id) GROUP BY 1, 2"
 SQL["comparison_found"] = f"""{_CMP}, f AS (SELECT qid, array_to_string(list(entity_id ORDER BY pos, entity_id), ',') AS ids, bool_and(entity_id IN (SELECT entity_id FROM er)) AS every, bool_or(entity_id IN (SELECT entity_id FROM er)) AS one FROM ids GROUP BY 1)
 SELECT cq.qid, coalesce(ids, '') AS entity_ids, coalesce(every, false) AS found_both, coalesce(one, false) AS found_answer FROM cq LEFT JOIN f USING (qid)"""
+SQL["comparison_targets"] = f"{_QS}, {_PAIR} SELECT qid, ta AS target_a, tb AS target_b FROM p2 WHERE two"
