@@ -22,11 +22,15 @@ def word_count(text: Column) -> Column:
 
 
 def repetition(text: Column) -> Column:
-    """Share of the most frequent word; 0 for none."""
-    words = split_words(F.lower(text))
-    kinds = F.array_distinct(words)
-    most = F.array_max(F.transform(kinds, lambda k: F.size(F.filter(words, lambda w: w == k))))
-    return F.when(F.size(words) > 0, most / F.size(words)).otherwise(F.lit(0.0))
+    """Share of the most frequent word; 0 for none. One pass over the sorted words."""
+    words = F.array_sort(split_words(F.lower(text)))
+    none = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(s: Column, w: Column) -> Column:
+        run = F.when(s["word"] == w, s["run"] + 1).otherwise(1)
+        return F.struct(w.alias("word"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
+
+    return F.aggregate(words, none, step, lambda s: F.when(s["most"] > 0, s["most"] / F.size(words)).otherwise(F.lit(0.0)))
 
 
 def strip_filler(text: Column) -> Column:

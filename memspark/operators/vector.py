@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
+def _blocks(rows: DataFrame) -> Iterator[list[tuple]]:
+    """The rows in blocks of at most ``BLOCK``, one at a time on the driver; one empty block without any."""
+    block: list[tuple] = []
+    some = False
+    for r in rows.toLocalIterator():
+        block.append((r[0], r[1]))
+        if len(block) == BLOCK:
+            yield block
+            block, some = [], True
+    if block or not some:
+        yield block
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(query_id, neighbour_id, score, rank): the k nearest rows by cosine for each query, itself left out.
 
@@ -20,17 +33,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", col
     shuffled is bounded by queries, k and batches. Null or zero vectors have no neighbours; ties go to smaller ids."""
     spark = vectors.sparkSession
     parts = []
-    rows = queries.select(key, column).filter(F.col(column).isNotNull()).toLocalIterator()
-    block: list = []
-    blocks: list[list] = []
-    for r in rows:
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK:
-            blocks.append(block)
-            block = []
-    if block or not blocks:
-        blocks.append(block)
-    for b in blocks:
+    for b in _blocks(queries.select(key, column).filter(F.col(column).isNotNull())):
         held = spark.sparkContext.broadcast((np.array([i for i, _ in b], np.int64), np.array([v for _, v in b], np.float64)))
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -49,7 +52,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", col
                 s[ids[:, None] == keys[None, :]] = -2
                 out = [[], [], []]
                 for r in range(len(ids)):
-                    top = np.lexsort((keys, -s[r]))[:k]
+                    row = s[r]
+                    # only what reaches the k-th score is put in order
+                    near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k]) if len(row) > k else np.arange(len(row))
+                    top = near[np.lexsort((keys[near], -row[near]))[:k]]
                     top = top[s[r][top] > -1.5]
                     out[0].append(np.full(len(top), ids[r]))
                     out[1].append(keys[top])

@@ -88,11 +88,17 @@ def l2_cap(spark: SparkSession, root: str) -> DataFrame:
 
 
 def context_assembly(spark: SparkSession, root: str) -> DataFrame:
-    """L1 blocks first, then the 50 latest of L2, by last access."""
+    """L1 blocks first, then those of L2 by last access, each with its place there."""
     b = blocks(spark, root)
     first = b.filter("tier = 'L1_HOT_CACHE'").select("id", F.lit(1).alias("section"))
-    rest = b.filter("tier = 'L2_ACTIVE_RAM'").orderBy(F.desc("last_accessed_at"), "id").limit(50).select("id", F.lit(2).alias("section"))
-    return first.unionByName(rest)
+    # places by day first, so that the order is never made in one task
+    l2 = b.filter("tier = 'L2_ACTIVE_RAM'").select("id", "last_accessed_at", F.to_date("last_accessed_at").alias("day"))
+    later = Window.orderBy(F.desc_nulls_last("day")).rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    before = l2.groupBy("day").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(later), F.lit(0))).select("day", "before")
+    within = Window.partitionBy("day").orderBy(F.desc("last_accessed_at"), "id")
+    placed = l2.withColumn("w", F.row_number().over(within)).join(before, l2["day"].eqNullSafe(before["day"]))
+    rest = placed.select("id", F.lit(2).alias("section"), (F.col("before") + F.col("w")).cast("bigint").alias("place"))
+    return first.withColumn("place", F.lit(0).cast("bigint")).unionByName(rest)
 
 
 def tag_inference(spark: SparkSession, root: str) -> DataFrame:
@@ -170,7 +176,7 @@ SELECT id, tier, new_tier, coalesce(length(CASE WHEN new_tier = 'L4_ARCHIVE' AND
   THEN '[ARCHIVED] ' || array_to_string(ws[1:20], ' ') || CASE WHEN len(ws) > 20 THEN '...' ELSE '' END ELSE summary END), -1)::INTEGER AS summary_chars FROM u""",
     "l2_cap": P
     + "SELECT id, 'L3_VIRTUAL_SWAP' AS new_tier FROM p WHERE tier = 'L2_ACTIVE_RAM' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY round(peff, 6) DESC, last_accessed_at DESC, id) > 20",
-    "context_assembly": B + "SELECT id, 1 AS section FROM b WHERE tier = 'L1_HOT_CACHE' UNION ALL (SELECT id, 2 FROM b WHERE tier = 'L2_ACTIVE_RAM' ORDER BY last_accessed_at DESC, id LIMIT 50)",
+    "context_assembly": B + "SELECT id, 1 AS section, 0::BIGINT AS place FROM b WHERE tier = 'L1_HOT_CACHE' UNION ALL SELECT id, 2, row_number() OVER (ORDER BY last_accessed_at DESC NULLS LAST, id)::BIGINT FROM b WHERE tier = 'L2_ACTIVE_RAM'",
     "tag_inference": B
     + """SELECT id, CASE WHEN regexp_matches(lower(content), 'project|retrieval|memory|embedding|benchmark') THEN 'PROJECT_FACT' WHEN regexp_matches(lower(content), 'my name|favorite|i prefer|i like') THEN 'USER_PROFILE'
 WHEN regexp_matches(lower(content), 'todo|need to|remind') THEN 'TASK' ELSE 'EPISODIC' END AS inferred_tag FROM b""",

@@ -108,8 +108,8 @@ def _ranked(spark: SparkSession, root: str) -> DataFrame:
     first = t.groupBy("session_id").agg(F.min_by("user_message", F.struct("logged_at", "turn_id")).alias("question"))
     first = E.with_intent(first, "question").select("session_id", "question", F.col("intent.intent").alias("intent"))
     b = blocks(spark, root).filter("session_id IS NOT NULL")
-    facts = load(spark, root, "structured_facts").dropDuplicates(["id"]).groupBy(F.col("memory_id").alias("id")).agg(F.avg("confidence").alias("fact"))
-    ev = load(spark, root, "timeline_events").groupBy(F.col("memory_id").alias("id")).agg(F.max("temporal_confidence").alias("time"))
+    facts = load(spark, root, "structured_facts").dropDuplicates(["id"]).groupBy(F.lower(F.trim("memory_id")).alias("id")).agg(F.avg("confidence").alias("fact"))
+    ev = load(spark, root, "timeline_events").groupBy(F.lower(F.trim("memory_id")).alias("id")).agg(F.max("temporal_confidence").alias("time"))
     c = b.join(first, "session_id").join(facts, "id", "left").join(ev, "id", "left")
     kind = F.when(F.col("tag") == "USER_PROFILE", "USER_FACT").when(F.col("tag") == "PROJECT_FACT", "PROJECT_FACT").when(F.col("tag") == "EPISODIC", "EVENT").otherwise("TEMPORARY_CONTEXT")
     fits = F.lit(False)
@@ -148,7 +148,7 @@ def ablation_weights(spark: SparkSession, root: str) -> DataFrame:
 
 
 def comparison_groups(spark: SparkSession, root: str) -> DataFrame:
-    """Up to eight memories of each device and organization, those about buying or setting up first, then the latest."""
+    """Memories of each device and organization: all about getting or setting up a thing, then the latest up to eight in all."""
     return _groups(spark, root, load(spark, root, "entities").filter("entity_type IN ('device', 'organization')"))
 
 
@@ -159,9 +159,9 @@ def comparison_groups_every(spark: SparkSession, root: str) -> DataFrame:
 
 def _groups(spark: SparkSession, root: str, entities: DataFrame) -> DataFrame:
     e = entities.select(F.col("id").alias("entity_id"), F.explode("memory_ids").alias("memory_id")).distinct()
-    b = blocks(spark, root).select(F.col("id").alias("memory_id"), "created_at", F.lower("content").rlike("ordered|installed|bought|set up|started|purchased").alias("about"))
+    b = blocks(spark, root).select(F.col("id").alias("memory_id"), "created_at", X.contains_any(F.lower("content"), V.EVENT_PHRASES).alias("about"))
     order = Window.partitionBy("entity_id").orderBy(F.desc("about"), F.desc("created_at"), "memory_id")
-    return e.join(b, "memory_id").withColumn("place", F.row_number().over(order)).filter("place <= 8").select("entity_id", "memory_id", "about", "place")
+    return e.join(b, "memory_id").withColumn("place", F.row_number().over(order)).filter(F.col("about") | (F.col("place") <= V.PER_ENTITY)).select("entity_id", "memory_id", "about", "place")
 
 
 def merge_flat(spark: SparkSession, root: str) -> DataFrame:
@@ -202,6 +202,7 @@ def session_index(spark: SparkSession, root: str) -> DataFrame:
     return n.select("turn_id", "n", (F.col("n") - 1 != F.col("turn_index")).alias("differs"))
 
 
+_ABOUT = "(" + " OR ".join(f"contains(lower(content), '{p}')" for p in V.EVENT_PHRASES) + ")"
 QUERIES = {f.__name__: f for f in (
     chat_window, hygiene_verdict, clean_response, classify_turns, query_intent, comparison_targets, event_type_infer, knn_cosine, knn_label_vote, hybrid_rerank, intent_weighted_rank, audit_top5, rank_reasoning, ablation_weights, comparison_groups, comparison_groups_every,
     merge_flat, merge_and_rank, run_summary, stage_timing, session_index,
@@ -239,14 +240,14 @@ _COS = "list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: z[
 _NEAR = f"WITH s AS (SELECT x.vec_id AS query_id, y.vec_id AS neighbour_id, y.label, {_COS} AS score FROM embeddings x JOIN embeddings y ON x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id),\nnear AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour_id) AS rank FROM s)\n"
 _GROUPS = """WITH b AS (SELECT * FROM memory_blocks QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_accessed_at DESC, access_count DESC) = 1),
 e AS (SELECT DISTINCT id AS entity_id, unnest(memory_ids) AS memory_id FROM entities WHERE entity_type IN ('device', 'organization')),
-g AS (SELECT entity_id, memory_id, regexp_matches(lower(content), 'ordered|installed|bought|set up|started|purchased') AS about, row_number() OVER (PARTITION BY entity_id ORDER BY regexp_matches(lower(content), 'ordered|installed|bought|set up|started|purchased') DESC, created_at DESC, memory_id)::INTEGER AS place
-  FROM e JOIN b ON b.id = memory_id QUALIFY place <= 8),
+g AS (SELECT entity_id, memory_id, @ABOUT@ AS about, row_number() OVER (PARTITION BY entity_id ORDER BY @ABOUT@ DESC, created_at DESC, memory_id)::INTEGER AS place
+  FROM e JOIN b ON b.id = memory_id QUALIFY about OR place <= 8),
 f AS (SELECT memory_id, round(least(0.98::DOUBLE, arg_min(0.95::DOUBLE - 0.05::DOUBLE * place, entity_id) + 0.10::DOUBLE * (count(*) - 1)), 6) AS score, count(*)::BIGINT AS n FROM g GROUP BY memory_id)
 """
 _GROUPS_EVERY = """WITH b AS (SELECT * FROM memory_blocks QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_accessed_at DESC, access_count DESC) = 1),
 e AS (SELECT DISTINCT id AS entity_id, unnest(memory_ids) AS memory_id FROM entities),
-g AS (SELECT entity_id, memory_id, regexp_matches(lower(content), 'ordered|installed|bought|set up|started|purchased') AS about, row_number() OVER (PARTITION BY entity_id ORDER BY regexp_matches(lower(content), 'ordered|installed|bought|set up|started|purchased') DESC, created_at DESC, memory_id)::INTEGER AS place
-  FROM e JOIN b ON b.id = memory_id QUALIFY place <= 8)
+g AS (SELECT entity_id, memory_id, @ABOUT@ AS about, row_number() OVER (PARTITION BY entity_id ORDER BY @ABOUT@ DESC, created_at DESC, memory_id)::INTEGER AS place
+  FROM e JOIN b ON b.id = memory_id QUALIFY about OR place <= 8)
 """
 _KIND = "CASE tag WHEN 'USER_PROFILE' THEN 'USER_FACT' WHEN 'PROJECT_FACT' THEN 'PROJECT_FACT' WHEN 'EPISODIC' THEN 'EVENT' ELSE 'TEMPORARY_CONTEXT' END"
 _FITS = " OR ".join(f"(intent = '{i}' AND kind IN ({', '.join(_lit(k) for k in ks)}))" for i, ks in V.FITTING.items())
@@ -257,7 +258,7 @@ _RANK = (
     + _SCORES.replace("FROM qs", "FROM (SELECT session_id AS qid, question FROM fq)")
     + f""",
 b AS (SELECT * FROM memory_blocks QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_accessed_at DESC, access_count DESC) = 1),
-fa AS (SELECT memory_id, avg(confidence) AS fact FROM (SELECT DISTINCT id, memory_id, confidence FROM structured_facts) GROUP BY 1), ti AS (SELECT memory_id, max(temporal_confidence) AS time FROM timeline_events GROUP BY 1),
+fa AS (SELECT lower(trim(memory_id)) AS memory_id, avg(confidence) AS fact FROM (SELECT DISTINCT id, memory_id, confidence FROM structured_facts) GROUP BY 1), ti AS (SELECT lower(trim(memory_id)) AS memory_id, max(temporal_confidence) AS time FROM timeline_events GROUP BY 1),
 c AS (SELECT b.id, b.session_id, intent, list_distinct(regexp_extract_all(lower(question), '\\w+')) AS ta, list_distinct(regexp_extract_all(lower(content), '\\w+')) AS tb, least(1.0::DOUBLE, len(coalesce(keywords, [])) / 5.0::DOUBLE) AS ent, least(1.0::DOUBLE, coalesce(time, 0)) AS time,
   coalesce(fact, 0.5::DOUBLE) AS fact, {_KIND} AS kind, least(1.0::DOUBLE, 0.5 / (1 + 0.01 * ((1748736000000000 - epoch_us(created_at)) / 86400000000.0)::DOUBLE) + 0.5 * ln(1 + access_count::DOUBLE) / 10) AS sal
   FROM b JOIN q5 ON q5.qid = b.session_id LEFT JOIN fa ON fa.memory_id = b.id LEFT JOIN ti ON ti.memory_id = b.id),
@@ -312,3 +313,4 @@ SELECT query_id, neighbour_id, hybrid, CASE WHEN low THEN 'low_similarity' WHEN
     + ", g AS (SELECT model, round(sum(latency_ms), 4) AS total_ms, count(latency_ms)::BIGINT AS calls, round(avg(latency_ms), 1) AS avg_ms FROM t GROUP BY 1) SELECT model, total_ms, calls, avg_ms, round(100 * total_ms / (SELECT sum(total_ms) FROM g), 4) AS pct FROM g",
     "session_index": T + "SELECT turn_id, row_number() OVER (PARTITION BY coalesce(session_id, '') ORDER BY logged_at, turn_id)::INTEGER AS n, row_number() OVER (PARTITION BY coalesce(session_id, '') ORDER BY logged_at, turn_id) - 1 <> turn_index AS differs FROM t",
 }
+SQL = {name: text.replace("@ABOUT@", _ABOUT) for name, text in SQL.items()}
