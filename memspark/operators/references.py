@@ -1,8 +1,8 @@
 """References to records that do not exist.
 
-Parent keys are opaque strings. A key is split into a namespace (its text before the last run of at most 16
-hexadecimal digits, and that run's length) and the integer these digits name; a key of another shape is a
-namespace of its own with the integer 0. Within a namespace, integers are cut into blocks of 2**BLOCK_BITS; in a
+Parent keys are opaque strings. A key is split into a namespace (its text before the at most 16 hexadecimal digits at
+its end, and their number) and the integer these digits name, so prefixed, decimal and hyphenated keys are all put in
+order by value (decimal ones come in runs of ten); a key that ends in no such digit is a namespace of its own with the integer 0. Within a namespace, integers are cut into blocks of 2**BLOCK_BITS; in a
 block the sorted parent integers are compressed into runs of consecutive values, and each distinct reference is
 matched as of the run that starts at or before it. A reference beyond that run's end (or before the first run)
 names nothing. A block holds at most 2**BLOCK_BITS parents and as many distinct references, whatever the data,
@@ -29,7 +29,7 @@ HOT_ROWS = 10_000
 SALTS = 32
 #: Characters counted as outer blanks of a key.
 BLANKS = " \t\n\r\x0b\x0c\u00a0"
-_KEY = r"^(.*_)([0-9a-f]{1,16})$"
+_KEY = r"^(.*?)([0-9a-f]{1,16})$"
 
 
 def normalise(key: Column) -> Column:

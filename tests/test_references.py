@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from memspark.operators import references as R
 
 T = dt.datetime
@@ -69,3 +71,18 @@ def test_runs_compress_sequences(spark):
 def test_long_keys(spark):
     long = "k" * 100_000
     assert run(spark, [("t", "f", "r", long, "b", None, "p", 0), ("t", "f", "s", long + "x", "b", None, "p", 0)], [("b", long, None, 0)], []) == [("t", "s", long + "x", "missing")]
+
+
+@pytest.mark.parametrize("shape", ["mem_{:016x}", "doc-{:06d}", "{:d}", "123e4567-e89b-42d3-a456-{:012x}", "{:032x}", "Fact {:04x}"])
+def test_sequential_keys_of_every_shape_are_few_runs(spark, shape):
+    """Keys 2000 to 4999 without 3000: runs by block (of tens, where digits are decimal), and only what is absent dangles."""
+    keys = [shape.format(i) for i in range(2000, 5000) if i != 3000]
+    parents = spark.createDataFrame([("t", k, None) for k in keys], "parent_table string, target_id string, born timestamp").selectExpr("parent_table", "lower(target_id) AS target_id", "born")
+    assert R.runs(parents).count() <= (310 if "d}" in shape else 12)
+    refs = [("r", "f", str(i), shape.format(i).upper() + " ", "t", None, "unknown") for i in (1999, 2000, 3000, 4999, 5000)]
+    got = R.dangling(
+        spark.createDataFrame(refs, "ref_table string, ref_field string, row_id string, target string, parent_table string, seen timestamp, period string"),
+        spark.createDataFrame([("t", k, None) for k in keys], "parent_table string, id string, born timestamp"),
+        spark.createDataFrame([], "parent_table string, id string"),
+    )
+    assert {r.row_id for r in got.collect()} == {"1999", "3000", "5000"}
