@@ -199,6 +199,7 @@ class Featuriser:
             max(0.0, gap) * 5, float(gap > 0.08) * (not told), float(gap > 0.03) * (not told), float(told), float(bool(asked)), float(final), float(bool(fence)), float(brackets > 0), float(bool(quotes)),
             float(unknown), float(tail.endswith(("...", "…", "[…]", "[...]"))), float(tail.endswith((",", ";", " -", "(", "and", "/"))), float(tail.endswith((":)", ":-)", ";)", "🙂", "😊"))), float(not final and len(r) > 6), float(len(r) <= 4),
             float(bool(re.search(r"\n\s*(?:\d+[.)]|[-*•])\s*$", reply))), float(never), seldom, float(strange), float(not stop and seen2 <= bare2), novel, float(novel < 0.15 and covers > 0.8), float(inside), float(tail.endswith((",", ";", "("))),
+            float(not stop and bare2 >= 3 and ends2 == 0 and (tail[-1:].isalnum() or tail.endswith(("…", "...", "]"))) and len(_WORD.findall(tail.rsplit("\n", 1)[-1])) >= 5),
         ]
 
     def speaks(self, texts: list[str]) -> list[np.ndarray | None]:
@@ -221,11 +222,11 @@ class Featuriser:
         return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(k) >> (64 - HASH_BITS) for k in keys), np.int64, len(keys)))
 
 
-N_PAIR = 34
+N_PAIR = 35
 
 
 #: Places of pair features.
-_COVERS, _FINAL, _FENCE, _BRACKET, _QUOTE, _LONG, _MARK, _NEVER, _NOVEL, _INSIDE, _COMMA = 2, 15, 16, 17, 18, 23, 25, 26, 30, 32, 33
+_COVERS, _FINAL, _FENCE, _BRACKET, _QUOTE, _LONG, _MARK, _NEVER, _NOVEL, _INSIDE, _COMMA, _OPEN = 2, 15, 16, 17, 18, 23, 25, 26, 30, 32, 33, 34
 
 
 class Model:
@@ -296,8 +297,8 @@ class Model:
             return out
         grams, pair = self.encode([(pairs[i][0] or "", pairs[i][1] or "") for i in full])
         # of what the classifier leaves open: what is opened and not closed, or ends with a comma, inside a word, or with
-        # a word that in all turns never ends a sentence, is cut short
-        broken = (pair[:, _FENCE] > 0) | (pair[:, _BRACKET] > 0) | ((pair[:, _QUOTE] > 0) & (pair[:, _FINAL] == 0)) | ((pair[:, _NEVER] > 0) & (pair[:, _LONG] > 0)) | (pair[:, [_MARK, _INSIDE, _COMMA]] > 0).any(1)
+        # a word or two that in all turns never end a sentence, is cut short
+        broken = (pair[:, _FENCE] > 0) | (pair[:, _BRACKET] > 0) | ((pair[:, _QUOTE] > 0) & (pair[:, _FINAL] == 0)) | ((pair[:, _NEVER] > 0) & (pair[:, _LONG] > 0)) | (pair[:, [_MARK, _INSIDE, _COMMA, _OPEN]] > 0).any(1)
         # and what has nearly all words of a message of some length and no others holds nothing but the message
         echoed = (pair[:, _NOVEL] <= 0.05) & (pair[:, _COVERS] >= 0.9)
         for i, s, b, e in zip(full, self.raw(grams, pair) - self.threshold, broken, echoed):
