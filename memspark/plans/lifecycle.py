@@ -11,7 +11,7 @@ from memspark.functions import vocab as V
 from memspark.operators import extract as E
 from memspark.operators import store
 from memspark.operators.similar import similar
-from memspark.plans import conversation, timeline
+from memspark.plans import conversation, evaluation, timeline
 from memspark.plans.blocks import SQL as BLOCK_SQL
 from memspark.plans.blocks import as_of, blocks
 from memspark.plans.conversation import turns
@@ -212,3 +212,18 @@ FROM m LEFT JOIN g ON g.name = m.name AND g.entity_type = m.entity_type""",
     "memory_hit_labels": f"WITH qi AS ({conversation.SQL['query_intent']}), {_T} SELECT turn_id, upper(intent[1]) || lower(intent[2:]) || ' · ' || context_block_count || ' memories' AS label FROM t JOIN (SELECT DISTINCT qid, intent FROM qi) ON qid = 't' || turn_id WHERE user_message IS NOT NULL AND context_block_count > 0",
 }
 SQL["controller_state"] = f"SELECT tier, new_tier, count(*)::BIGINT AS n_blocks, count_if(tier <> new_tier)::BIGINT AS n_moved FROM ({BLOCK_SQL['eviction_sweep']}) GROUP BY 1, 2"
+# queries of other modules whose SQL is put together from that of several
+_CLASSES = conversation.SQL["classify_turns"]
+_SIDES = "SELECT turn_id, 'user' AS source, user_message AS text FROM t UNION ALL SELECT turn_id, 'assistant', assistant_reply FROM t"
+_KINDS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.SHORTHAND.items())
+_DAY = lambda c: f"floor(epoch_us({c}) / 86400000000.0)"
+_STOP = ", ".join(f"'{w}'" for w in V.KEYWORD_STOP)
+SQL["type_promotion"] = f"""WITH {_B}, c AS ({_CLASSES.replace(_SIDES, "SELECT id AS turn_id, lower(trim(source)) AS source, content AS text FROM b")})
+SELECT id, 'USER_FACT' AS new_type FROM b JOIN c ON c.turn_id = b.id WHERE memory_type = 'TEMPORARY_CONTEXT' AND access_count >= 8"""
+SQL["action_counts"] = " UNION ALL ".join(f"SELECT '{name}' AS action, count(*)::BIGINT AS n FROM ({timeline.SQL[query]})" for name, query in (("stable_fact", "stable_facts"), ("conflict", "conflict_flags"), ("demoted", "cold_demotion")))
+SQL["shorthand_asof"] = f"""WITH {_B}, m AS (SELECT DISTINCT mention_id, memory_id, CASE lower(surface_form) {_KINDS} END AS kind FROM entity_mentions WHERE is_shorthand),
+d AS (SELECT mention_id, memory_id, kind, {_DAY('created_at')} AS day FROM m JOIN b ON b.id = memory_id WHERE kind IS NOT NULL)
+SELECT mention_id, arg_max(e.id, (e.first_seen, e.id)) AS entity_id FROM d JOIN entities e ON e.entity_type = kind AND {_DAY('e.first_seen')} + 1 <= day GROUP BY mention_id, memory_id"""
+SQL["keyword_coverage"] = evaluation.SQL["judge_cascade"].split(",\na1 AS")[0] + f""", w AS (SELECT item_id, response, list_filter(regexp_extract_all(lower(expected), '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_-]*[\\p{{L}}\\p{{N}}_]'), lambda x: regexp_full_match(x, '[a-z0-9-]{{2,}}')) AS ws FROM a0),
+k AS (SELECT item_id, response, list_filter(ws, lambda x, i: list_position(ws, x) = i AND NOT list_contains([{_STOP}], x))[1:15] AS ws FROM w)
+SELECT item_id, round(CASE WHEN len(ws) > 0 THEN len(list_filter(ws, lambda x: contains(lower(response), x))) / len(ws)::DOUBLE ELSE 0.0 END, 6) AS coverage FROM k"""
