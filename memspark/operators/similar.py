@@ -13,14 +13,15 @@ def _pieces(k: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length("low") - (k - 1)), lambda i: F.substr("low", i, F.lit(k)))
 
 
-def _grams(names: DataFrame) -> dict[int, DataFrame]:
-    return {k: names.filter(F.length("low") >= k).withColumn("token", F.explode(F.array_distinct(_pieces(k)))) for k in (1, 2, 3)}
+def _grams(names: DataFrame) -> DataFrame:
+    """(low, token): every sequence of one to three characters of each name."""
+    pieces = [F.when(F.length("low") >= k, _pieces(k)).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3)]
+    return names.select("low", F.explode(F.array_distinct(F.concat(*pieces))).alias("token"))
 
 
-def _rarest(names: DataFrame, seen: DataFrame) -> DataFrame:
+def _rarest(grams: DataFrame, seen: DataFrame) -> DataFrame:
     """Each name under the rarest of its character trigrams (a shorter name: itself)."""
-    g = _grams(names)
-    inner = g[1].filter("length(low) = 1").unionByName(g[2].filter("length(low) = 2")).unionByName(g[3])
+    inner = grams.filter(F.length("token") == F.least(F.length("low"), F.lit(3)))
     return inner.join(seen, "token", "left").groupBy("low").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
 
 
@@ -38,11 +39,14 @@ def similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     part = F.floor(F.lit(1 - least + 1e-9) * F.col("n_tokens")) + 1
     prefix = {k: df.join(seen, "token").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= part).select("token", "low") for k, df in words.items()}
     side = lambda df, name: df.select("token", F.col("low").alias(name))
-    met = side(prefix["a"], "left_low").join(side(prefix["b"], "right_low"), "token")
+    # each kind of candidates is a job of its own: one plan of all takes much of the driver's memory
+    met = cut(side(prefix["a"], "left_low").join(side(prefix["b"], "right_low"), "token").select("left_low", "right_low").distinct())
     if least <= 0.8 + 1e-9:
-        outer = {k: (lambda g: g[1].unionByName(g[2]).unionByName(g[3]).select("token", "low"))(_grams(df)) for k, df in (("a", a), ("b", b))}
+        outer = {k: _grams(df) for k, df in (("a", a), ("b", b))}
         count = {k: df.groupBy("token").agg(F.count("*").alias("n")) for k, df in outer.items()}
-        met = met.unionByName(side(_rarest(a, count["b"]), "left_low").join(side(outer["b"], "right_low"), "token")).unionByName(side(outer["a"], "left_low").join(side(_rarest(b, count["a"]), "right_low"), "token"))
-    pairs = cut(met.select("left_low", "right_low").distinct())
+        held = side(_rarest(outer["a"], count["b"]), "left_low").join(side(outer["b"], "right_low"), "token"), side(outer["a"], "left_low").join(side(_rarest(outer["b"], count["a"]), "right_low"), "token")
+        for part in held:
+            met = met.unionByName(cut(part.select("left_low", "right_low").distinct()))
+    pairs = met.distinct()
     return pairs.withColumn("similarity", F.round(X.name_similarity(F.col("left_low"), F.col("right_low")), 6)).filter(F.col("similarity") >= least - 1e-9)
 

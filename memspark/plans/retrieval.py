@@ -20,6 +20,10 @@ from memspark.session import cut
 from memspark.sources import load
 
 
+#: Memories and questions in an array, and about how many rows of a result a task makes.
+MEMORIES, QUESTIONS, ROWS_OF_A_TASK = 256, 1024, 4_000_000
+
+
 def _stripped(name: Column) -> Column:
     return F.regexp_replace(F.btrim(name), r"^[?,.!]+|[?,.!]+$", "")
 
@@ -101,11 +105,12 @@ def temporal_retrieve(spark: SparkSession, root: str) -> DataFrame:
     earlier one's memory scores 0.95 and the other's 0.80, or both 0.60 where neither is surely earlier. Any other with
     an entity, or without events to compare, takes the memories of its entities' events of the type asked for, or else
     of all, by mean confidence. What is left is ``fallback`` without a memory, for a search by meaning."""
-    q = E.with_intent(_asked(spark, root), "question").filter("intent.intent IN ('TEMPORAL', 'EVENT')").select("qid", "question", E.event_type(F.col("question")).alias("kind"))
-    ids = _resolved(spark, root)
     order = reduce(lambda a, m: a | F.contains(F.lower("question"), F.lit(m)), V.ORDER_MARKERS, F.lit(False))
+    # written before it is filtered, else the long expression of the intent stands in the plan twice
+    q = cut(E.with_intent(_asked(spark, root), "question").select("qid", E.event_type(F.col("question")).alias("kind"), order.alias("marked"), F.col("intent.intent").alias("intent"))).filter("intent IN ('TEMPORAL', 'EVENT')")
+    ids = _resolved(spark, root)
     top = ids.groupBy("qid").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", "entity_id"))), lambda x: x["entity_id"]), 1, 2).alias("two"))
-    q = cut(q.join(top, "qid", "left").withColumn("order", order & (F.size("two") == 2)))
+    q = cut(q.join(top, "qid", "left").select("qid", "kind", "two", (F.col("marked") & (F.size("two") == 2)).alias("order")))
     ev = _events(spark, root).join(q.join(ids, "qid").select("entity_id").distinct(), "entity_id", "left_semi")
     ev = cut(ev)
     here = blocks(spark, root).select(F.lower("id").alias("memory_id"))
@@ -120,14 +125,53 @@ def temporal_retrieve(spark: SparkSession, root: str) -> DataFrame:
     rows = c.select("qid", F.explode(F.array(F.struct(F.col("a.memory_id").alias("memory_id"), score(a_first).alias("score")), F.struct(F.col("b.memory_id").alias("memory_id"), score(~a_first).alias("score")))).alias("r"))
     ordered = rows.select("qid", "r.*").join(here, "memory_id").groupBy("qid", "memory_id").agg(F.max("score").alias("score"))
     ordered = cut(ordered.withColumn("strategy", F.lit("ordering")))
-    # sums of each memory by entity and type are taken before questions are joined, so a hot entity is one small table
-    sums = ev.groupBy("entity_id", "event_type", "memory_id").agg(F.sum("temporal_confidence").alias("s"), F.count("temporal_confidence").alias("n"))
-    wide = q.join(ordered.select("qid").distinct(), "qid", "left_anti").select("qid", "kind").join(ids.select("qid", "entity_id"), "qid").join(sums, "entity_id").withColumn("fits", F.coalesce(F.col("event_type") == F.col("kind"), F.lit(False)))
-    any_fits = wide.groupBy("qid").agg(F.max("fits").alias("any"))
-    line = wide.join(any_fits, "qid").filter("fits OR NOT any").groupBy("qid", "memory_id").agg((F.sum("s") / F.sum("n")).alias("score")).join(here, "memory_id").select("qid", "memory_id", "score", F.lit("timeline").alias("strategy"))
-    done = cut(ordered.select("qid", "strategy", "memory_id", "score").unionByName(line.select("qid", "strategy", "memory_id", "score")))
-    rest = q.join(done.select("qid").distinct(), "qid", "left_anti").select("qid", F.lit("fallback").alias("strategy"), F.lit("").alias("memory_id"), F.lit(0.0).alias("score"))
-    return done.unionByName(rest).withColumn("score", F.round("score", 6))
+    plan, line = _timelines(q.join(ordered.select("qid").distinct(), "qid", "left_anti").select("qid", "kind"), ids, ev, here)
+    # the result is written once, by the caller: only the questions that have one are needed here
+    done = ordered.select("qid").unionByName(plan.select("qid")).distinct()
+    rest = q.join(done, "qid", "left_anti").select("qid", F.lit("fallback").alias("strategy"), F.lit("").alias("memory_id"), F.lit(0.0).alias("score"))
+    columns = ["qid", "strategy", "memory_id", "score"]
+    return ordered.select(columns).unionByName(line.withColumn("strategy", F.lit("timeline")).select(columns)).unionByName(rest).withColumn("score", F.round("score", 6))
+
+
+def _timelines(q: DataFrame, ids: DataFrame, ev: DataFrame, here: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(qid, kind) -> the questions that have a timeline, and (qid, memory_id, score).
+
+    The result has a row for each question and memory of its entities, which grows as their product, so it is made by
+    the last join and never shuffled. Questions of the same entities and type go one way, and come in arrays; so do the
+    memories of an entity. Only memories that several entities of a way share are summed up for that way."""
+    typed = ev.groupBy("entity_id", "event_type", "memory_id").agg(F.sum("temporal_confidence").alias("s"), F.count("temporal_confidence").alias("n"))
+    typed = typed.withColumn("kind", F.explode(F.array(F.col("event_type"), F.lit("*")))).filter("kind IS NOT NULL").join(here, "memory_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("entity_id", "kind").orderBy("memory_id")) - 1
+    sums = cut(typed.groupBy("entity_id", "kind", "memory_id").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("block", F.floor(place / MEMORIES)))
+    sizes = sums.groupBy("entity_id", "kind").agg(F.count("*").alias("size"))
+    asked = q.join(ids.select("qid", "entity_id"), "qid")
+    fits = ev.select("entity_id", F.col("event_type").alias("kind"), F.lit(True).alias("fits")).distinct()
+    kind = asked.join(fits, ["entity_id", "kind"], "left").groupBy("qid").agg(F.when(F.max("fits"), F.max("kind")).otherwise("*").alias("kind"))
+    met = asked.select("qid", "entity_id").join(kind, "qid").join(sizes, ["entity_id", "kind"], "left_semi")
+    plan = cut(met.groupBy("qid", "kind").agg(F.array_sort(F.collect_list("entity_id")).alias("of")))
+    plan = plan.withColumn("way", F.concat_ws("\x01", "kind", "of"))
+    ways = plan.select("way", "kind", F.explode("of").alias("entity_id"), (F.size("of") > 1).alias("many")).distinct()
+    number = F.row_number().over(Window.partitionBy("way").orderBy("qid")) - 1
+    askers = plan.select("way", "qid").withColumn("part", F.floor(number / QUESTIONS)).groupBy("way", "part").agg(F.collect_list("qid").alias("qids")).drop("part")
+    # memories that two entities of a way share: those of the entity that has fewer, looked up in the other one's
+    many = ways.filter("many").drop("many").join(sizes, ["entity_id", "kind"])
+    one, other = many.select("way", "kind", F.struct("size", "entity_id").alias("a")), many.select("way", F.struct("size", "entity_id").alias("b"))
+    two = one.join(other, "way").filter("a < b").select("way", "kind", F.col("a.entity_id").alias("a"), F.col("b.entity_id").alias("b"))
+    of = sums.select("kind", F.col("entity_id").alias("a"), "memory_id")
+    common = two.select("kind", "a", "b").distinct().join(of, ["kind", "a"]).join(of.withColumnRenamed("a", "b"), ["kind", "b", "memory_id"], "left_semi")
+    shared = cut(two.join(common, ["kind", "a", "b"]).select("way", "kind", "memory_id").distinct().join(many.drop("size"), ["way", "kind"]).join(sums, ["entity_id", "kind", "memory_id"]))
+    merged = shared.groupBy("way", "memory_id").agg((F.sum("s") / F.sum("n")).alias("score")).join(askers, "way").select(F.explode("qids").alias("qid"), "memory_id", "score")
+    # all others, by blocks: arrays of memories meet arrays of questions
+    lists = sums.groupBy("entity_id", "kind", "block").agg(F.collect_list(F.struct("memory_id", (F.col("s") / F.col("n")).alias("score"))).alias("memories"))
+    out = shared.groupBy("way", "entity_id", "block").agg(F.collect_list(F.struct("memory_id", (F.col("s") / F.col("n")).alias("score"))).alias("not"))
+    each = ways.drop("many").join(sums.select("entity_id", "kind", "block").distinct(), ["entity_id", "kind"]).join(out, ["way", "entity_id", "block"], "left")
+    each = cut(each.join(askers, "way").select("entity_id", "kind", "block", "qids", "not"))
+    rows = each.agg(F.sum(F.size("qids"))).first()[0] or 0
+    parts = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, rows * MEMORIES // ROWS_OF_A_TASK))
+    left = F.when(F.col("not").isNull(), F.col("memories")).otherwise(F.array_except("memories", "not"))
+    own = each.repartition(parts, "entity_id", "kind", "block").join(lists, ["entity_id", "kind", "block"]).select("qids", left.alias("memories"))
+    own = own.select("qids", F.explode("memories").alias("m")).select(F.explode("qids").alias("qid"), "m.memory_id", "m.score")
+    return plan, own.unionByName(merged)
 
 
 def entity_memories(spark: SparkSession, root: str) -> DataFrame:

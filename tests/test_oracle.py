@@ -68,3 +68,11 @@ def test_duplicates_that_share_no_rarest_word(spark, tmp_path):
     assert got == shared
     got = {(r.left_id, r.right_id) for r in q["duplicate_entities_every"](spark, str(tmp_path)).collect() if not r.right_id.startswith("x") and r.left_id < r.right_id}
     assert got == shared | {("p", "q"), ("p", "s"), ("q", "s")}
+
+
+def test_timelines_are_not_written_twice(spark, tmp_path, monkeypatch):
+    """Rows of each question and memory are the result alone: tables written on the way hold far fewer."""
+    monkeypatch.setattr("memspark.session.checkpoint_dir", lambda _: str(tmp_path))
+    rows = entry.queries()["temporal_retrieve"](spark, "/root/testdata/sf0.01").count()
+    written = [spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()]
+    assert written and max(written) < rows / 5
