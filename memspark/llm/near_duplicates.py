@@ -26,16 +26,18 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.operators.graph import components
-from memspark.session import cut
+from memspark.session import cut, drop
 
 GRAM = 3
 CELL_BITS = 22
@@ -49,6 +51,10 @@ _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Turns in which all branches are joined, each an equal part of them.
+TURNS = 8
+#: Branches that are looked at together, about.
+ENTRIES = 1_000_000
 #: Rows worked on at a time, which bounds a worker's memory.
 ROWS = 2000
 
@@ -172,12 +178,15 @@ def _counts(docs: DataFrame, min_words: int) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, spark: SparkSession, threshold: float, min_words: int, hot: int) -> DataFrame:
-    """(field, id, cls, n, bits, keys, ranks): n distinct n-grams, their signature, and the branches of the text."""
-    table = spark.sparkContext.broadcast(_counts(docs, min_words))
+    """Texts (field, id, cls, n, bits, ref): n distinct n-grams, their signature, a number; and blobs (bucket, ref, blob)
+    of the branches of up to ``ROWS`` texts from number ``ref`` on, 7 or 9 bytes each: hash, text, rank."""
+    counts = _counts(docs, min_words)
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(np.exp2((counts[counts > 0] - 1.0) / 8).sum() * (1 - threshold)) // ENTRIES)
+    table = spark.sparkContext.broadcast(counts)
     hot_level = 1 + math.floor(8 * math.log2(hot))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, hasher = table.value, Hasher()
+        level, hasher, base = table.value, Hasher(), TaskContext.get().partitionId() << 33
         for batch in _portions(batches):
             read = [(f, i, ws) for f, i, ws in ((f, i, words(t)) for f, i, t in zip(*(batch.column(i).to_pylist() for i in range(3)))) if len(ws) >= min_words]
             if not read:
@@ -195,16 +204,57 @@ def _rows(docs: DataFrame, spark: SparkSession, threshold: float, min_words: int
                 least = shared(int(n[k]) + math.ceil(threshold * int(n[k]) - 1e-9), threshold)
                 key, where = branches(g[at[k] : at[k + 1]], rare[at[k] : at[k + 1]], least, hot_level)
                 keys.append(key)
-                ranks.append(where.astype(np.int32))
+                ranks.append(where)
+            texts = len(read)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f for f, _, _ in read]), pa.array([i for _, i, _ in read]), pa.array([xxhash.xxh3_128_digest(" ".join(ws)) for _, _, ws in read], pa.binary()), pa.array(n.astype(np.int32)),
-                    pa.array(list(bits), pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(ranks, pa.list_(pa.int32())),
+                    pa.array(list(bits), pa.list_(pa.int64())), pa.array(np.arange(base, base + texts)), pa.nulls(texts, pa.int32()), pa.nulls(texts, pa.binary()),
                 ],
-                ["field", "id", "cls", "n", "bits", "keys", "ranks"],
+                _COLUMNS,
             )
+            salt = np.repeat(np.array([xxhash.xxh3_64_intdigest(f) for f, _, _ in read], np.uint64), [len(k) for k in keys])
+            bucket, blobs = _packed(np.concatenate(keys).view(np.uint64) ^ salt, np.concatenate(ranks), np.repeat(np.arange(texts), [len(k) for k in keys]), buckets)
+            m = len(bucket)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64())), pa.array(np.full(m, base)), pa.array(bucket), pa.array(blobs, pa.binary())], _COLUMNS)
+            base += texts
 
-    return docs.select("field", "id", "text").mapInArrow(rows, "field string, id string, cls binary, n int, bits array<bigint>, keys array<bigint>, ranks array<int>")
+    return docs.select("field", "id", "text").mapInArrow(rows, "field string, id string, cls binary, n int, bits array<bigint>, ref bigint, bucket int, blob binary")
+
+
+_COLUMNS = ["field", "id", "cls", "n", "bits", "ref", "bucket", "blob"]
+
+
+def _packed(keys: np.ndarray, ranks: np.ndarray, text: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """Branches by bucket: the bytes of a rank, then 32 bits of the hashes in the bucket, the texts, the ranks."""
+    deep = ranks < 0
+    with np.errstate(over="ignore"):
+        h = (keys ^ (deep.astype(np.uint64) << np.uint64(7))) * _MIX
+        h = (h ^ (h >> np.uint64(29))) * _MIX
+    at = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    rank = np.where(deep, -ranks - 1, ranks)
+    width = next(w for w in (1, 2, 4) if rank.max(initial=0) < 1 << 8 * w)
+    order = np.argsort(at, kind="stable")
+    at, low, text, rank = at[order], h[order].astype(np.uint32), text[order].astype(np.uint16), rank[order].astype(f"u{width}")
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[first], [bytes([width]) + low[i:j].tobytes() + text[i:j].tobytes() + rank[i:j].tobytes() for i, j in zip(first, [*first[1:], len(at)])]
+
+
+def _met(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(branch, ref, rank) of the branches of a bucket that more than one text enters; one of a single text leads nowhere.
+    Two branches that share 32 bits of their hashes in a bucket are one: that can only add candidates."""
+    low, ref, rank = [], [], []
+    for base, blob in zip(pdf["ref"], pdf["blob"]):
+        width = blob[0]
+        m = (len(blob) - 1) // (6 + width)
+        low.append(np.frombuffer(blob, np.uint32, m, 1))
+        ref.append(base + np.frombuffer(blob, np.uint16, m, 1 + 4 * m).astype(np.int64))
+        rank.append(np.frombuffer(blob, f"u{width}", m, 1 + 6 * m).astype(np.int32))
+    low, ref, rank = np.concatenate(low), np.concatenate(ref), np.concatenate(rank)
+    order = np.argsort(low, kind="stable")
+    same = np.concatenate([[False], low[order][1:] == low[order][:-1], [False]])
+    order = order[same[1:] | same[:-1]]
+    return pd.DataFrame({"branch": (int(pdf["bucket"].iloc[0]) << 32) + low[order].astype(np.int64), "ref": ref[order], "rank": rank[order]})
 
 
 def _walk(left: np.ndarray, rights: list[np.ndarray], threshold: float) -> list[float]:
@@ -298,20 +348,24 @@ def links(docs: DataFrame, threshold: float = 0.8, min_words: int = 12, hot: int
     spark = docs.sparkSession
     docs = docs.select("field", "id", "text").filter("id IS NOT NULL AND text IS NOT NULL")
     rows = cut(_rows(docs, spark, threshold, min_words, hot))
-    reps = rows.groupBy("field", "cls").agg(F.min("id").alias("rep"))
-    members = cut(rows.select("field", "cls", "id").distinct().join(reps, ["field", "cls"]).select("field", "rep", "id", "cls"))
-    classes = members.select("field", "rep", "cls").distinct()
-    own = rows.join(classes.select("field", F.col("rep").alias("id"), "cls"), ["field", "id", "cls"])
+    texts = rows.filter("bucket IS NULL")
+    reps = cut(texts.groupBy("field", "cls").agg(F.min(F.struct("id", "ref")).alias("m")).select("field", "cls", F.col("m.id").alias("rep"), "m.ref"))
+    members = cut(texts.select("field", "cls", "id").distinct().join(reps.drop("ref"), ["field", "cls"]).select("field", "rep", "id"))
     words_of = [F.col("bits")[i].alias(f"s{i}") for i in range(BITS // 64)]
-    branch = own.select(_key("field", "id").alias("k"), "field", "n", *words_of, F.explode(F.arrays_zip("keys", "ranks")).alias("b"))
-    deep = F.col("b.ranks") < 0
-    branch = branch.select(F.xxhash64("field", "b.keys", deep).alias("branch"), "k", "n", F.when(deep, -F.col("b.ranks") - 1).otherwise(F.col("b.ranks")).alias("rank"), *(f"s{i}" for i in range(BITS // 64)))
-    left, right = (branch.select("branch", *(F.col(c).alias(c + side) for c in branch.columns[1:])) for side in "ab")
+    own = texts.join(reps.select("ref"), "ref", "left_semi").select("ref", _key("field", "id").alias("k"), "n", *words_of)
     total = F.col("na") + F.col("nb")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * total - F.lit(1e-9))
     differ = sum((F.bit_count(F.col(f"s{i}a").bitwiseXOR(F.col(f"s{i}b"))) for i in range(1, BITS // 64)), F.bit_count(F.col("s0a").bitwiseXOR(F.col("s0b"))))
     met = (F.col("ka") < F.col("kb")) & (F.least(F.col("na") - F.col("ranka"), F.col("nb") - F.col("rankb")) >= need) & (differ <= total - 2 * need)
-    pairs = cut(left.join(right, (left["branch"] == right["branch"]) & met).select("ka", "kb").distinct())
+    parts = []
+    for turn in range(TURNS):  # what a turn shuffles goes when its pairs are written
+        entries = rows.filter(f"bucket % {TURNS} = {turn}").select("bucket", "ref", "blob").groupBy("bucket").applyInPandas(_met, "branch bigint, ref bigint, rank int")
+        branch = entries.join(own, "ref").select("branch", "k", "n", "rank", *(f"s{i}" for i in range(BITS // 64)))
+        left, right = (branch.select("branch", *(F.col(c).alias(c + side) for c in branch.columns[1:])) for side in "ab")
+        parts.append(cut(left.join(right, (left["branch"] == right["branch"]) & met).select("ka", "kb").distinct()))
+    pairs = cut(reduce(DataFrame.unionByName, parts).distinct())
+    for table in (rows, reps, *parts):
+        drop(table)
     ids = pairs.select(F.col("ka").alias("k")).unionByName(pairs.select(F.col("kb").alias("k"))).distinct()
     wanted = members.filter("rep = id").select("field", "id", _key("field", "id").alias("k")).join(ids, "k", "left_semi").select("field", "id").distinct()
     sets = cut(_sets(docs.join(wanted, ["field", "id"], "left_semi")).distinct().withColumn("k", _key("field", "rep")))

@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "memspark", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the submitter's own session is used."""
@@ -55,5 +57,18 @@ def cut(df: DataFrame) -> DataFrame:
     The written table outlives lost executors, keeps column pruning and gives the optimiser real sizes."""
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"memspark-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    held = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled for this table goes as soon as it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, held) if held else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``cut`` wrote and that nothing reads any more."""
+    jvm, files = df.sparkSession.sparkContext._jvm, df.inputFiles()
+    if files:
+        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -458,3 +458,16 @@ def test_identify_awkward_rows(spark):
     docs = spark.createDataFrame([(1, None, None, 0), (2, "", "en", 0), (3, "one two three", None, 0), (3, "one two three", None, 0)], "doc_id bigint, text string, lang string, seg_no int")
     assert L.identify(docs).count() == 0  # no label to learn from
     assert L.cases(L.identify(spark.createDataFrame([], docs.schema))).count() == 0
+
+
+def test_tables_of_branches_are_deleted(spark, tmp_path, monkeypatch):
+    """What near-duplicate links write on the way goes once the pairs are known; shuffles go with each table."""
+    from memspark.llm import near_duplicates
+
+    monkeypatch.setattr("memspark.session.checkpoint_dir", lambda _: str(tmp_path))
+    text = " ".join(f"word{k}" for k in range(30))
+    docs = spark.createDataFrame([("content", "a", text), ("content", "b", text + " more"), ("content", "c", text.upper())], "field string, id string, text string")
+    found, members = near_duplicates.links(docs, 0.6, 12)
+    assert {(r.left_id, r.right_id) for r in near_duplicates.pairs(found, members).collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+    columns = [set(spark.read.parquet(str(p)).columns) for p in tmp_path.iterdir()]
+    assert columns and not any(c & {"keys", "ranks", "bits", "blob"} for c in columns)
